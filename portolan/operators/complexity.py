@@ -191,7 +191,7 @@ def product_opportunities(flows: DataFrame, n: int = 20, focal: int | None = Non
 def opportunity_counts(flows: DataFrame, n: int = 20, focal: int | None = None) -> DataFrame:
     """Number of opportunities, as listed (never above ``n``) and uncut."""
     if focal is not None:
-        counts = _open_to(flows, focal).groupBy("reporter").agg(F.count("*").alias("uncut_count"))
+        counts = _open_to(flows, focal).agg(F.lit(focal).alias("reporter"), F.count("*").alias("uncut_count"))
     else:
         candidates = opportunity_candidates(flows).select("product")
         held = (

@@ -71,15 +71,15 @@ def recent_growth(
         touching(flows, focal)
         .filter(F.col("t").isin(list(years)))
         .groupBy("i", "j", "t")
-        .agg(total("v").alias("v"))
+        .agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
     )
     series = (
         cells.groupBy("i", "j")
         .agg(
             F.count("*").alias("years_active"),
-            F.min_by("v", "t").alias("first_value"),
-            F.max_by("v", "t").alias("last_value"),
-            F.sum("v").alias("value"),
+            F.min_by("v", "t").cast("double").alias("first_value"),
+            F.max_by("v", "t").cast("double").alias("last_value"),
+            total("v").alias("value"),
         )
         .filter(F.col("years_active") >= 2)
     )

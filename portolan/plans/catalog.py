@@ -141,12 +141,13 @@ EMERGING = _ranked(
     f"""SELECT direction, reporter, partner, coalesce(country_name, 'Country_' || CAST(partner AS VARCHAR)) AS partner_name,
   (last_value - first_value) / first_value * 100 AS growth_rate, value * 1000 AS total_value_usd, years_active
 FROM (
-  SELECT direction, reporter, partner, count(*) AS years_active, sum(v) AS value,
-         max(CASE WHEN up = 1 THEN v END) AS first_value, max(CASE WHEN down = 1 THEN v END) AS last_value
+  SELECT direction, reporter, partner, count(*) AS years_active, CAST(sum(v) AS DOUBLE) AS value,
+         CAST(max(CASE WHEN up = 1 THEN v END) AS DOUBLE) AS first_value,
+         CAST(max(CASE WHEN down = 1 THEN v END) AS DOUBLE) AS last_value
   FROM (
     SELECT *, row_number() OVER (PARTITION BY direction, reporter, partner ORDER BY t) AS up,
            row_number() OVER (PARTITION BY direction, reporter, partner ORDER BY t DESC) AS down
-    FROM (SELECT direction, reporter, partner, t, CAST(sum(v) AS DOUBLE) AS v FROM d
+    FROM (SELECT direction, reporter, partner, t, sum(v) AS v FROM d
           WHERE t IN {YEARS} GROUP BY ALL) y
   ) o GROUP BY direction, reporter, partner HAVING count(*) >= 2
 ) g LEFT JOIN countries ON partner = country_code
@@ -501,7 +502,8 @@ LEFT JOIN (SELECT k, count(DISTINCT j) AS total_markets FROM flows GROUP BY k) b
     "opportunity_counts": Query(
         lambda d, f: complexity.opportunity_counts(d.flows, 20, f),
         "reporter:int opportunity_count:long uncut_count:long",
-        f"SELECT reporter, least(count(*), 20) AS opportunity_count, count(*) AS uncut_count FROM ({OPEN_PRODUCTS}) o GROUP BY reporter",
+        f"""SELECT e.reporter, least(count(o.product), 20) AS opportunity_count, count(o.product) AS uncut_count
+FROM (SELECT DISTINCT reporter FROM x) e LEFT JOIN ({OPEN_PRODUCTS}) o ON o.reporter = e.reporter GROUP BY e.reporter""",
     ),
     "competitive_position": Query(
         lambda d, f: competition.competitive_position(d.flows, focal=f),
@@ -663,22 +665,24 @@ GROUP BY country_code HAVING count(*) > 1""",
     ),
     "prepared_flows": Query(
         lambda d, f: readers.derive(readers.enrich(readers.clean(d.flows), d.countries, d.products))
-        .groupBy("exporter_name", "importer_name", "hs2", "hs4")
+        .groupBy("exporter_name", "hs2")
         .agg(
-            F.count("*").alias("records"), F.count("description").alias("described"), F.sum("v").alias("v"),
+            F.count("*").alias("records"), F.count("description").alias("described"),
+            F.count("importer_name").alias("imported"), F.max("hs4").alias("top_hs4"), F.sum("v").alias("v"),
             F.sum("unit_value").alias("unit_value"), F.sum("log_value").alias("log_value"), F.sum("log_quantity").alias("log_quantity"),
         ),
-        "exporter_name:str importer_name:str hs2:int hs4:int records:long described:long v:num4 unit_value:num4 log_value:num log_quantity:num",
-        """SELECT e.country_name AS exporter_name, m.country_name AS importer_name,
+        "exporter_name:str hs2:int records:long described:long imported:long top_hs4:int v:num4 unit_value:num4 log_value:num "
+        "log_quantity:num",
+        """SELECT e.country_name AS exporter_name,
   CAST(substr(lpad(CAST(k AS VARCHAR), 6, '0'), 1, 2) AS INTEGER) AS hs2,
-  CAST(substr(lpad(CAST(k AS VARCHAR), 6, '0'), 1, 4) AS INTEGER) AS hs4,
-  count(*) AS records, count(description) AS described, CAST(sum(v) AS DOUBLE) AS v,
+  max(CAST(substr(lpad(CAST(k AS VARCHAR), 6, '0'), 1, 4) AS INTEGER)) AS top_hs4,
+  count(*) AS records, count(description) AS described, count(m.country_name) AS imported, CAST(sum(v) AS DOUBLE) AS v,
   sum(CASE WHEN q > 0 THEN CAST(v AS DOUBLE) / q END) AS unit_value,
   sum(ln(1 + greatest(CAST(v AS DOUBLE), 0))) AS log_value, sum(ln(1 + greatest(q, 0))) AS log_quantity
 FROM flows LEFT JOIN countries e ON i = e.country_code LEFT JOIN countries m ON j = m.country_code
 LEFT JOIN products ON lpad(CAST(k AS VARCHAR), 6, '0') = code
 WHERE v IS NOT NULL AND q IS NOT NULL AND v >= 1000
-GROUP BY e.country_name, m.country_name, 3, 4""",
+GROUP BY e.country_name, 2""",
         both=False,
     ),
 }
