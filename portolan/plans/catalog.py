@@ -7,7 +7,7 @@ registered twice: under their name for the focal reporter and with the suffix
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +19,16 @@ from portolan.operators import (
     complexity,
     concentration,
     distribution,
+    features,
     flowgraph,
     partners,
     products,
     quality,
+    segments,
     timeseries,
     totals,
 )
+from portolan.plans import reports
 from portolan.plans.shape import shaped, shaped_sql
 from portolan.sources import readers, star
 from portolan.sources.readers import TradeData
@@ -800,13 +803,204 @@ FROM ({EMERGING}) e WHERE rank <= 10""",
 }
 
 
+POINTS = """SELECT *, {scaled} FROM (
+  SELECT reporter, partner, partner_name, total_value, total_quantity, product_diversity, years_active,
+         total_value / (total_quantity + 0.001) AS unit_value,
+         total_value / sum(total_value) OVER (PARTITION BY reporter) AS market_share,
+         total_value / years_active AS avg_annual_trade
+  FROM (
+    SELECT reporter, partner, country_name AS partner_name, CAST(sum(v) AS DOUBLE) AS total_value,
+           coalesce(sum(q), 0) AS total_quantity, count(DISTINCT k) AS product_diversity, count(DISTINCT t) AS years_active
+    FROM x JOIN countries ON partner = country_code GROUP BY reporter, partner, country_name
+  ) a
+) b"""
+
+
+def _points_sql(columns: Sequence[str], robust: bool) -> str:
+    cells = []
+    for c in columns:
+        w = "OVER (PARTITION BY reporter)"
+        if robust:
+            spread = f"(quantile_cont({c}, 0.75) {w} - quantile_cont({c}, 0.25) {w})"
+            cells.append(f"({c} - quantile_cont({c}, 0.5) {w}) / coalesce(nullif({spread}, 0), 1) AS {c}_scaled")
+        else:
+            cells.append(f"({c} - avg({c}) {w}) / coalesce(nullif(stddev_pop({c}) {w}, 0), 1) AS {c}_scaled")
+    return POINTS.format(scaled=", ".join(cells))
+
+
+ROBUST = _points_sql(features.FEATURES, True)
+
+DISTANCES = """SELECT a.reporter, a.partner AS one, b.partner AS other, sqrt({squares}) AS distance
+FROM points a JOIN points b ON a.reporter = b.reporter""".format(
+    squares=" + ".join(f"power(a.{c}_scaled - b.{c}_scaled, 2)" for c in features.FEATURES)
+)
+
+DENSITY_CORE = """SELECT reporter, one AS partner, count(*) AS neighbours, count(*) >= 3 AS is_core
+FROM distances WHERE distance <= 0.5 GROUP BY reporter, one"""
+
+# Closure of the links between core points; the smallest member names a cluster.
+DENSITY_CTES = f"""points AS ({ROBUST}),
+distances AS ({DISTANCES}),
+cored AS ({DENSITY_CORE}),
+links AS (
+  SELECT d.reporter, d.one, d.other FROM distances d
+  JOIN cored a ON a.reporter = d.reporter AND a.partner = d.one AND a.is_core
+  JOIN cored b ON b.reporter = d.reporter AND b.partner = d.other AND b.is_core
+  WHERE d.distance <= 0.5
+),
+reach AS (
+  SELECT reporter, one, other FROM links
+  UNION
+  SELECT r.reporter, r.one, l.other FROM reach r JOIN links l ON l.reporter = r.reporter AND l.one = r.other
+),
+roots AS (SELECT reporter, one AS partner, min(other) AS root FROM reach GROUP BY reporter, one),
+core_clusters AS (
+  SELECT reporter, partner, dense_rank() OVER (PARTITION BY reporter ORDER BY root) - 1 AS cluster FROM roots
+),
+clustered AS (
+  SELECT c.reporter, c.partner, c.neighbours, c.is_core,
+         coalesce(k.cluster, (
+           SELECT min(n.cluster) FROM core_clusters n JOIN distances d
+             ON d.reporter = n.reporter AND d.other = n.partner
+           WHERE d.reporter = c.reporter AND d.one = c.partner AND d.distance <= 0.5), -1) AS cluster
+  FROM cored c LEFT JOIN core_clusters k ON k.reporter = c.reporter AND k.partner = c.partner
+)"""
+
+
+def _silhouette_sql(labelled: str) -> str:
+    """Mean silhouette per (reporter, labelling) of rows (reporter, labelling, partner, cluster)."""
+    return f"""SELECT reporter, labelling, count(*) AS points,
+  avg(CASE WHEN inside IS NULL OR nearest IS NULL THEN 0 ELSE (nearest - inside) / greatest(inside, nearest) END) AS silhouette
+FROM (
+  SELECT reporter, labelling, one, max(CASE WHEN mine = theirs THEN s / nullif(n - 1, 0) END) AS inside,
+         min(CASE WHEN mine <> theirs THEN s / n END) AS nearest
+  FROM (
+    SELECT d.reporter, a.labelling, d.one, a.cluster AS mine, b.cluster AS theirs, sum(d.distance) AS s, count(*) AS n
+    FROM distances d
+    JOIN ({labelled}) a ON a.reporter = d.reporter AND a.partner = d.one
+    JOIN ({labelled}) b ON b.reporter = d.reporter AND b.partner = d.other AND b.labelling = a.labelling
+    GROUP BY d.reporter, a.labelling, d.one, a.cluster, b.cluster
+  ) t GROUP BY reporter, labelling, one
+) m GROUP BY reporter, labelling"""
+
+
+FIXED_LABELS = """SELECT reporter, partner, 0 AS labelling, CASE WHEN total_value_scaled > 0 THEN 1 ELSE 0 END AS cluster FROM points
+UNION ALL
+SELECT reporter, partner, 1 AS labelling, CASE WHEN total_value_scaled > 0 THEN 1 ELSE 0 END
+  + CASE WHEN unit_value_scaled > 0 THEN 2 ELSE 0 END AS cluster FROM points"""
+
+
+def _fixed_labels(points: DataFrame) -> DataFrame:
+    large = F.when(F.col("total_value_scaled") > 0, 1).otherwise(0)
+    dear = F.when(F.col("unit_value_scaled") > 0, 2).otherwise(0)
+    return points.withColumn("labels", F.array(large, large + dear))
+
+
+SCALED_BASIC = " ".join(f"{c}_scaled:num" for c in features.BASIC_FEATURES)
+SCALED = " ".join(f"{c}_scaled:num" for c in features.FEATURES)
+
+SEGMENTS: dict[str, Query] = {
+    "partner_features": Query(
+        lambda d, f: features.partner_features(d.flows, d.countries, f),
+        "reporter:int partner:int partner_name:str total_value:num4 total_quantity:num product_diversity:long "
+        "years_active:long unit_value:num market_share:num avg_annual_trade:num4",
+        POINTS.format(scaled="1 AS one"),
+    ),
+    "standard_scaled_features": Query(
+        lambda d, f: features.standard_scaled(features.partner_features(d.flows, d.countries, f)),
+        f"reporter:int partner:int {SCALED_BASIC}",
+        _points_sql(features.BASIC_FEATURES, False),
+    ),
+    "robust_scaled_features": Query(
+        lambda d, f: features.robust_scaled(features.partner_features(d.flows, d.countries, f)),
+        f"reporter:int partner:int {SCALED}",
+        ROBUST,
+    ),
+    "silhouette_of_labels": Query(
+        lambda d, f: segments.silhouettes(_fixed_labels(segments.partner_points(d.flows, d.countries, f))),
+        "reporter:int labelling:int points:long silhouette:num",
+        f"WITH points AS ({ROBUST}), distances AS ({DISTANCES}) {_silhouette_sql(FIXED_LABELS)}",
+    ),
+    "density_clusters": Query(
+        lambda d, f: segments.density_clusters(segments.partner_points(d.flows, d.countries, f)),
+        "reporter:int partner:int neighbours:long is_core:bool cluster:int",
+        f"WITH RECURSIVE {DENSITY_CTES} SELECT * FROM clustered",
+    ),
+    "density_summary": Query(
+        lambda d, f: segments.density_summary(segments.density_clusters(segments.partner_points(d.flows, d.countries, f))),
+        "reporter:int n_clusters:long n_noise:long silhouette:num",
+        f"""WITH RECURSIVE {DENSITY_CTES}
+SELECT c.*, CASE WHEN n_clusters > 1 THEN silhouette ELSE 0 END AS silhouette
+FROM (SELECT reporter, count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END) AS n_clusters,
+             count(*) FILTER (WHERE cluster = -1) AS n_noise FROM clustered GROUP BY reporter) c
+JOIN ({_silhouette_sql('SELECT reporter, 0 AS labelling, partner, cluster FROM clustered')}) s ON s.reporter = c.reporter""",
+    ),
+    # No SQL twins below: fits are iterative and labels and signs are free.
+    "kmeans_sweep": Query(
+        lambda d, f: segments.kmeans_sweep(segments.partner_points(d.flows, d.countries, FOCAL)).scores,
+        "k:int inertia:num silhouette:num",
+        both=False,
+    ),
+    "kmeans_centers": Query(
+        lambda d, f: segments.kmeans(segments.settled(segments.partner_points(d.flows, d.countries, FOCAL))).centers.select(
+            "cluster", *[F.col("center")[n].alias(c) for n, c in enumerate(features.FEATURES)]
+        ),
+        "cluster:int " + " ".join(f"{c}:num" for c in features.FEATURES),
+        both=False,
+    ),
+    "basic_segments": Query(
+        lambda d, f: segments.basic_segments(d.flows, d.countries, FOCAL).points,
+        "reporter:int partner:int partner_name:str cluster:int pca1:num pca2:num",
+        both=False,
+    ),
+    "partner_segments": Query(
+        lambda d, f: segments.partner_segments(d.flows, d.countries, FOCAL).partners,
+        "reporter:int partner:int partner_name:str kmeans_cluster:int dbscan_cluster:int pca1:num pca2:num pca3:num",
+        both=False,
+    ),
+    "component_variance": Query(
+        lambda d, f: segments.principal_components(segments.settled(segments.partner_points(d.flows, d.countries, FOCAL)), 3).variance,
+        "component:int variance_share:num",
+        both=False,
+    ),
+}
+
+DOCUMENTS: dict[str, Query] = {
+    # Values read back out of the JSON text.
+    "result_document": Query(
+        lambda d, f: reports.json_results(d, f).select(
+            "reporter",
+            *[
+                F.get_json_object("document", path).alias(name)
+                for name, path in (
+                    ("total_records", "$.metadata[0].total_records"),
+                    ("export_records", "$.metadata[0].export_records"),
+                    ("total_exports", "$.summary_statistics[0].total_exports"),
+                    ("total_imports", "$.summary_statistics[0].total_imports"),
+                    ("export_products", "$.summary_statistics[0].export_products"),
+                    ("first_year", "$.yearly[0].t"),
+                    ("first_year_exports", "$.yearly[0].exports"),
+                )
+            ],
+        ),
+        "reporter:int total_records:long export_records:long total_exports:num4 total_imports:num4 export_products:long "
+        "first_year:int first_year_exports:num4",
+        f"""SELECT k.*, (SELECT count(*) FROM flows) AS total_records, n.export_records, y.t AS first_year, y.exports AS first_year_exports
+FROM ({KPIS}) k
+JOIN (SELECT reporter, count(*) FILTER (WHERE direction = 'export') AS export_records FROM d GROUP BY reporter) n
+  ON n.reporter = k.reporter
+JOIN ({_ranked(YEARLY, 'reporter', 't', 1)}) y ON y.reporter = k.reporter""",
+    ),
+}
+
+
 def _registered(spark: SparkSession, sf_dir: str, query: Query, focal: int | None) -> DataFrame:
     return shaped(query.build(star.trade_data(spark, sf_dir), focal), query.shape)
 
 
 def _entries() -> dict[str, tuple[Query, int | None]]:
     out: dict[str, tuple[Query, int | None]] = {}
-    for name, query in {**ANALYSES, **PROFILES, **CHART_TABLES}.items():
+    for name, query in {**ANALYSES, **PROFILES, **CHART_TABLES, **SEGMENTS, **DOCUMENTS}.items():
         out[name] = (query, FOCAL if query.both else None)
         if query.both:
             out[f"{name}_all_reporters"] = (query, None)
