@@ -64,3 +64,8 @@ def even_round(c: Column, places: int = 2) -> Column:
 def no_nan(c: Column) -> Column:
     """NaN as NULL, so that documents and aggregates see a missing value."""
     return F.when(~F.isnan(c), c)
+
+
+def jarque_bera(n: Column, skewness: Column, kurtosis: Column) -> Column:
+    """Normality statistic from population skewness and excess kurtosis."""
+    return n / 6 * (skewness * skewness + kurtosis * kurtosis / 4)

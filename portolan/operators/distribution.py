@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portolan.functions.codes import hs2
-from portolan.functions.numeric import no_nan, unit_value
+from portolan.functions.numeric import jarque_bera, unit_value
 from portolan.operators.directional import SIDE, sides
 from portolan.operators.quantiles import exact_quantiles
 
@@ -21,7 +21,6 @@ def value_distribution(flows: DataFrame, focal: int | None = None, scale: float
     """
     x = F.col("v").cast("double")
     ends = sides(flows, focal).select(*SIDE, (x if scale == 1 else x * float(scale)).alias("x"))
-    n, skew, kurt = F.col("records"), F.col("skewness"), F.col("kurtosis")
     moments = ends.groupBy(*SIDE).agg(
         F.count("x").alias("records"),
         F.avg("x").alias("mean"),
@@ -34,7 +33,7 @@ def value_distribution(flows: DataFrame, focal: int | None = None, scale: float
     quartiles = exact_quantiles(ends, SIDE, "x", (0.25, 0.5, 0.75))
     return (
         moments.join(quartiles, list(SIDE))
-        .withColumn("jarque_bera", n / 6 * (skew * skew + kurt * kurt / 4))
+        .withColumn("jarque_bera", jarque_bera(F.col("records"), F.col("skewness"), F.col("kurtosis")))
         .select(
             *SIDE, "records", "mean", "std", "min",
             F.col("quantiles")[0].alias("p25"),
@@ -46,6 +45,16 @@ def value_distribution(flows: DataFrame, focal: int | None = None, scale: float
     )
 
 
+def _pearson(a: str, b: str) -> Column:
+    """Correlation over complete pairs, NULL where one side does not vary.
+
+    The built-in ``corr`` divides by zero there, which ANSI mode turns into an error.
+    """
+    if a == b:
+        return F.when(F.var_pop(a) > 0, F.lit(1.0))
+    return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b)))
+
+
 def correlations(flows: DataFrame, focal: int | None = None, hs2_mode: str = "padded") -> DataFrame:
     """Pearson matrix of value, quantity, unit value and chapter, long form.
 
@@ -61,7 +70,7 @@ def correlations(flows: DataFrame, focal: int | None = None, hs2_mode: str = "pa
         hs2(k, hs2_mode).cast("double").alias("hs2"),
     )
     pairs = [(a, b) for n, a in enumerate(MEASURES) for b in MEASURES[n:]]
-    once = measured.groupBy(*SIDE).agg(*[no_nan(F.corr(a, b)).alias(f"{a}|{b}") for a, b in pairs])
+    once = measured.groupBy(*SIDE).agg(*[_pearson(a, b).alias(f"{a}|{b}") for a, b in pairs])
     cells = []
     for a in MEASURES:
         for b in MEASURES:
