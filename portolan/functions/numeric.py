@@ -10,9 +10,13 @@ MILLION = 1e6
 BILLION = 1e9
 
 
+def total_of(summed: Column) -> Column:
+    """A sum as double; a group of missing values sums to 0."""
+    return F.coalesce(summed.cast("double"), F.lit(0.0))
+
+
 def total(c: str | Column) -> Column:
-    """Sum as double; a group of missing values sums to 0."""
-    return F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+    return total_of(F.sum(c))
 
 
 def total_if(condition: Column, c: str) -> Column:

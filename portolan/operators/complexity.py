@@ -86,13 +86,15 @@ def economic_complexity(flows: DataFrame, focal: int | None = None) -> DataFrame
         "diversity",
         (F.sum("n").over(Window.orderBy("diversity")) - F.col("n")).alias("below"),
     )
-    whole = levels.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("diversity")) / F.sum("n")).alias("mean"))
+    whole = levels.agg(
+        F.struct(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("diversity")) / F.sum("n")).alias("mean"))
+    ).scalar()
     mine = diversity if focal is None else diversity.filter(F.col("reporter") == focal)
     return mine.join(ladder, "diversity").select(
         "reporter",
         "diversity",
-        whole.select("mean").scalar().alias("mean_diversity"),
-        (F.col("below") / whole.select("n").scalar() * 100).alias("diversity_percentile"),
+        whole["mean"].alias("mean_diversity"),
+        (F.col("below") / whole["n"] * 100).alias("diversity_percentile"),
     )
 
 
@@ -124,13 +126,12 @@ def mean_penetration(flows: DataFrame, focal: int | None = None) -> DataFrame:
 def product_metrics(flows: DataFrame) -> DataFrame:
     """World value, exporters, importers and complexity of each product.
 
-    Grouping to (product, exporter, importer) first keeps the two distinct
-    counts, which repeat their input rows, on the smaller table.
+    The two distinct counts repeat each row before the partial aggregation, which
+    then holds (product, exporter) and (product, importer) pairs.  Grouping by all
+    three first would shuffle nearly every flow.
     """
     return (
-        flows.groupBy("k", "i", "j")
-        .agg(F.sum("v").alias("v"))
-        .groupBy(F.col("k").alias("product"))
+        flows.groupBy(F.col("k").alias("product"))
         .agg(
             total("v").alias("global_value"),
             F.count_distinct("i").alias("num_exporters"),
@@ -148,13 +149,12 @@ def opportunity_candidates(flows: DataFrame) -> DataFrame:
     """
     metrics = product_metrics(flows)
     mid = metrics.agg(
-        F.percentile("complexity", F.lit(0.5)).alias("complexity"),
-        F.percentile("global_value", F.lit(0.5)).alias("value"),
-    )
-    return metrics.filter(
-        (F.col("complexity") > mid.select("complexity").scalar())
-        & (F.col("global_value") > mid.select("value").scalar())
-    )
+        F.struct(
+            F.percentile("complexity", F.lit(0.5)).alias("complexity"),
+            F.percentile("global_value", F.lit(0.5)).alias("value"),
+        )
+    ).scalar()
+    return metrics.filter((F.col("complexity") > mid["complexity"]) & (F.col("global_value") > mid["value"]))
 
 
 def _open_to(flows: DataFrame, focal: int) -> DataFrame:
@@ -215,8 +215,6 @@ def portfolio_matrix(flows: DataFrame, focal: int | None = None, hs2_mode: str =
     chapters = (
         exports(flows, focal)
         .select("reporter", "partner", "k", hs2(F.col("k"), hs2_mode).alias("hs2"), "v")
-        .groupBy("reporter", "hs2", "partner", "k")
-        .agg(F.sum("v").alias("v"))
         .groupBy("reporter", "hs2")
         .agg(
             total("v").alias("value"),

@@ -7,35 +7,16 @@ from pyspark.sql import functions as F
 
 from portolan.functions.codes import hs2
 from portolan.functions.labels import concentration_band
-from portolan.functions.numeric import total
-from portolan.operators.directional import SIDE, sides, touching
+from portolan.functions.numeric import total_of
+from portolan.operators.directional import SIDE, code_totals
 
 GROUP = (*SIDE, "dimension")
 
 
 def dimension_values(flows: DataFrame, focal: int | None = None, hs2_mode: str = "padded") -> DataFrame:
-    """Value per partner (``country``) and per chapter (``product``) in one long table.
-
-    One pass over the flows to (origin, destination, chapter) feeds both.
-    """
-    cells = (
-        touching(flows, focal)
-        .select("i", "j", hs2(F.col("k"), hs2_mode).cast("string").alias("hs2"), "v")
-        .groupBy("i", "j", "hs2")
-        .agg(F.sum("v").alias("v"))
-    )
-    return (
-        sides(cells, focal)
-        .select(
-            *SIDE,
-            F.stack(
-                F.lit(2), F.lit("country"), F.col("partner").cast("string"), F.lit("product"), F.col("hs2")
-            ).alias("dimension", "code"),
-            "v",
-        )
-        .groupBy(*GROUP, "code")
-        .agg(total("v").alias("value"))
-    )
+    """Value per partner (``country``) and per chapter (``product``) in one long table."""
+    chapter = hs2(F.col("k"), hs2_mode).cast("int")
+    return code_totals(flows, focal, chapter).select(*GROUP, "code", total_of(F.col("v")).alias("value"))
 
 
 def concentration(flows: DataFrame, focal: int | None = None, hs2_mode: str = "padded") -> DataFrame:

@@ -55,6 +55,29 @@ def imports(flows: DataFrame, focal: int | None = None) -> DataFrame:
     )
 
 
+def code_totals(flows: DataFrame, focal: int | None, product: Column) -> DataFrame:
+    """Value per partner and per product code: (direction, reporter, dimension, code, v).
+
+    Every flow counts under its partner (``country``) and its ``product`` in one
+    pass.  The partial sums are as few as there are codes, where a grouping by
+    partner and product together would be about as long as the flows.  Distinct
+    counts of partners and products are row counts of this table.
+    """
+    ends = touching(flows, focal).select("i", "j", product.alias("p"), "v")
+    out = ends.select(
+        F.stack(
+            F.lit(4),
+            F.lit("export"), F.col("i"), F.lit("country"), F.col("j"),
+            F.lit("export"), F.col("i"), F.lit("product"), F.col("p"),
+            F.lit("import"), F.col("j"), F.lit("country"), F.col("i"),
+            F.lit("import"), F.col("j"), F.lit("product"), F.col("p"),
+        ).alias("direction", "reporter", "dimension", "code"),
+        "v",
+    )
+    kept = out if focal is None else out.filter(F.col("reporter") == focal)
+    return kept.groupBy(*SIDE, "dimension", "code").agg(F.sum("v").alias("v"))
+
+
 def top_per(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank"
 ) -> DataFrame:

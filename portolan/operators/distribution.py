@@ -82,9 +82,8 @@ def correlations(flows: DataFrame, focal: int | None = None, hs2_mode: str = "pa
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Equal-width bins from minimum to maximum; the last bin includes the maximum."""
     x = F.col(column).cast("double")
-    edge = df.agg(F.min(x).alias("low"), F.max(x).alias("high"))
-    low = edge.select("low").scalar()
-    width = edge.select((F.col("high") - F.col("low")) / bins).scalar()
+    edge = df.agg(F.struct(F.min(x).alias("low"), ((F.max(x) - F.min(x)) / bins).alias("width"))).scalar()
+    low, width = edge["low"], edge["width"]
     binned = F.least(F.coalesce(F.floor(F.try_divide(x - low, width)), F.lit(0)), F.lit(bins - 1))
     return (
         df.filter(x.isNotNull())

@@ -16,21 +16,16 @@ FEATURES = (*BASIC_FEATURES, "market_share")
 
 
 def partner_features(flows: DataFrame, countries: DataFrame, focal: int | None = None) -> DataFrame:
-    """Export totals, diversity, unit value, share and annual average per named partner.
-
-    The flows are first grouped to (partner, product, year); the two distinct
-    counts then repeat rows of that table instead of raw flows.
-    """
-    cells = (
+    """Export totals, diversity, unit value, share and annual average per named partner."""
+    per_partner = (
         exports(flows, focal)
-        .groupBy("reporter", "partner", "k", "t")
-        .agg(F.sum("v").alias("v"), F.sum("q").alias("q"))
-    )
-    per_partner = cells.groupBy("reporter", "partner").agg(
-        total("v").alias("total_value"),
-        total("q").alias("total_quantity"),
-        F.count_distinct("k").alias("product_diversity"),
-        F.count_distinct("t").alias("years_active"),
+        .groupBy("reporter", "partner")
+        .agg(
+            total("v").alias("total_value"),
+            total("q").alias("total_quantity"),
+            F.count_distinct("k").alias("product_diversity"),
+            F.count_distinct("t").alias("years_active"),
+        )
     )
     value = F.col("total_value")
     return (

@@ -1,11 +1,15 @@
-"""Exact quantiles of raw values without gathering a group in one task.
+"""Exact quantiles of raw values without shuffling or gathering them.
 
 The built-in exact percentile keeps every distinct value of a group in one
 aggregation buffer, which fails when a single reporter owns a large part of the
-flows.  Here the values are counted once, spread over all tasks by value, and
-the wanted ranks are located in two narrowing steps: logarithmic buckets, then
-equal slices of the buckets that hold a wanted rank.  Only the values of those
-few slices are ordered.
+flows.  Here the wanted ranks are located in narrowing passes over the values:
+
+1. count them in logarithmic buckets,
+2. count the buckets that hold a wanted rank in equal slices,
+3. order only the values of the slices that hold one.
+
+The counts of the first two passes combine before the shuffle, and the third
+pass moves a few slices per group, so the values themselves stay where they are.
 """
 
 from __future__ import annotations
@@ -16,14 +20,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from portolan.plans.session import settled
+
 BUCKETS_PER_OCTAVE = 64
 SLICES = 1024
 
+# A located part is about a hundred bytes; beyond this many they are joined, not sent.
+SENT_PARTS = 100_000
+
 
 def _log_bucket(x: Column) -> Column:
     """Integer that never decreases as ``x`` grows; about 1 % relative width."""
     size = F.floor(F.log1p(F.abs(x)) * (BUCKETS_PER_OCTAVE / 0.6931471805599453))
-    return F.coalesce(F.when(x < 0, -size - 1).otherwise(size), F.lit(0))
+    return F.when(x < 0, -size - 1).otherwise(size)
 
 
 def _slice(x: Column, low: Column, high: Column) -> Column:
@@ -31,75 +40,75 @@ def _slice(x: Column, low: Column, high: Column) -> Column:
     return F.coalesce(F.when(high > low, F.floor((x - low) / (high - low) * SLICES)), F.lit(0))
 
 
+def _located(parts: DataFrame, inside: Sequence[str], order: str, wanted: Column) -> DataFrame:
+    """One row per wanted 0-based rank with the part that holds it; ``n`` counts values."""
+    upto = F.sum("n").over(Window.partitionBy(*inside).orderBy(order))
+    return (
+        parts.withColumn("upto", upto)
+        .withColumn("before", F.col("upto") - F.col("n"))
+        .withColumn("rank", F.explode(wanted))
+        .filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
+    )
+
+
+def _meet(values: DataFrame, parts: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Values that fall into the located parts; few parts are sent to every task."""
+    few = parts.count() <= SENT_PARTS
+    return values.join(F.broadcast(parts) if few else parts, list(on))
+
+
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]
 ) -> DataFrame:
-    """Linearly interpolated quantiles per group: ``by`` columns and ``quantiles`` array."""
+    """Linearly interpolated quantiles per group: ``by`` columns and ``quantiles`` array.
+
+    The first two passes run when this is called; their results, a few rows per
+    group, are written to the checkpoint folder.
+    """
     by = list(by)
-    # Plain not-null tests, as the joins below would add: with the same filters in
-    # every branch the shuffled counts are computed once and reused.
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, value)])
-    counts = (
+    values = (
         df.filter(known)
-        .groupBy(*by, F.col(value).cast("double").alias("x"))
-        .agg(F.count("*").alias("n"))
+        .select(*by, F.col(value).cast("double").alias("x"))
         .withColumn("bucket", _log_bucket(F.col("x")))
     )
-
-    def located(groups: DataFrame, part: str, inside: list[str], wanted: Column) -> DataFrame:
-        """Keeps the parts that hold a wanted 0-based rank, one row per such rank."""
-        upto = F.sum("n").over(Window.partitionBy(*inside).orderBy(part))
-        return (
-            groups.withColumn("upto", upto)
-            .withColumn("before", F.col("upto") - F.col("n"))
-            .withColumn("rank", F.explode(wanted))
-            .filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-        )
-
-    size = F.sum("n").over(Window.partitionBy(*by))
     positions = [F.lit(float(p)) * (F.col("size") - 1) for p in probabilities]
-    ranks = F.array_distinct(
-        F.array(*[f(p).cast("bigint") for p in positions for f in (F.floor, F.ceil)])
-    )
+    ranks = F.array_distinct(F.array(*[f(p).cast("bigint") for p in positions for f in (F.floor, F.ceil)]))
+    inner = F.collect_set(F.col("rank") - F.col("before"))
+
     buckets = (
-        counts.groupBy(*by, "bucket")
-        .agg(F.sum("n").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-        .withColumn("size", size)
-    )
-    in_bucket = (
-        located(buckets, "bucket", by, ranks)
-        .groupBy(*by, "bucket")
-        .agg(
-            F.max("low").alias("low"),
-            F.max("high").alias("high"),
-            F.max("before").alias("base"),
-            F.max("size").alias("size"),
-            F.collect_set(F.col("rank") - F.col("before")).alias("ranks"),
-        )
+        values.groupBy(*by, "bucket")
+        .agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        .withColumn("size", F.sum("n").over(Window.partitionBy(*by)))
     )
-    sliced = counts.join(in_bucket, [*by, "bucket"]).withColumn(
-        "slice", _slice(F.col("x"), F.col("low"), F.col("high"))
+    in_bucket = settled(
+        _located(buckets, by, "bucket", ranks)
+        .groupBy(*by, "bucket", "low", "high", "size", F.col("before").alias("base"))
+        .agg(inner.alias("ranks"))
     )
-    slices = sliced.groupBy(*by, "bucket", "slice").agg(
-        F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("base", "size", "ranks")]
+
+    place = _slice(F.col("x"), F.col("low"), F.col("high"))
+    slices = (
+        _meet(values, in_bucket, [*by, "bucket"])
+        .groupBy(*by, "bucket", place.alias("slice"))
+        .agg(F.count("*").alias("n"))
+        .join(in_bucket, [*by, "bucket"])
     )
-    in_slice = (
-        located(slices, "slice", [*by, "bucket"], F.col("ranks"))
-        .groupBy(*by, "bucket", "slice")
-        .agg(
-            F.max("before").alias("offset"),
-            F.collect_set(F.col("rank") - F.col("before")).alias("slice_ranks"),
-        )
+    in_slice = settled(
+        _located(slices, [*by, "bucket"], "slice", F.col("ranks"))
+        .groupBy(*by, "bucket", "slice", "low", "high", "size", (F.col("base") + F.col("before")).alias("base"))
+        .agg(inner.alias("ranks"))
     )
-    found = (
-        located(
-            sliced.join(in_slice, [*by, "bucket", "slice"]),
-            "x", [*by, "bucket", "slice"], F.col("slice_ranks"),
-        )
-        .select(*by, "size", "x", (F.col("base") + F.col("offset") + F.col("rank")).alias("rank"))
+
+    ordered = (
+        _meet(values, in_slice, [*by, "bucket"])
+        .filter(place == F.col("slice"))
+        .groupBy(*by, "size", "base", "x", "ranks")
+        .agg(F.count("*").alias("n"))
     )
-    by_rank = found.groupBy(*by).agg(
-        F.map_from_entries(F.collect_set(F.struct("rank", "x"))).alias("at"), F.max("size").alias("size")
+    found = _located(ordered, [*by, "base"], "x", F.col("ranks")).groupBy(*by).agg(
+        F.map_from_entries(F.collect_set(F.struct(F.col("base") + F.col("rank"), "x"))).alias("at"),
+        F.max("size").alias("size"),
     )
 
     def interpolated(p: Column) -> Column:
@@ -107,4 +116,4 @@ def exact_quantiles(
         high = F.element_at("at", F.ceil(p).cast("bigint"))
         return low + (high - low) * (p - F.floor(p))
 
-    return by_rank.select(*by, F.array(*[interpolated(p) for p in positions]).alias("quantiles"))
+    return found.select(*by, F.array(*[interpolated(p) for p in positions]).alias("quantiles"))

@@ -29,7 +29,7 @@ from portolan.operators.features import (
     with_feature_array,
 )
 from portolan.operators.tiles import over_tiles
-from portolan.plans.session import ensure_checkpoints
+from portolan.plans.session import settled
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -38,12 +38,6 @@ EPS = 0.5
 MIN_POINTS = 3
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The table written to the checkpoint folder, so that repeated fits do not rescan flows."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint()
-
-
 class KMeansFit(NamedTuple):
     """Labelled partners, centres and within-cluster sum of squares."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portolan.functions.numeric import coverage_pct, total, total_if
-from portolan.operators.directional import SIDE, exports, sides, touching
+from portolan.operators.directional import SIDE, code_totals, exports, sides
 from portolan.operators.naming import with_partner_name
 
 
@@ -66,19 +66,19 @@ def yearly_trends(flows: DataFrame, focal: int | None = None, years: str = "expo
 def summary_report(flows: DataFrame, countries: DataFrame, focal: int | None = None) -> DataFrame:
     """Headline figures, one row per reporter.
 
-    Flows are grouped once to (origin, destination, product); the distinct counts
-    and the leading partner both read that smaller table.
+    The value per partner and per product code is computed once; totals, distinct
+    counts and the leading partner all read that table.
     """
-    cells = touching(flows, focal).groupBy("i", "j", "k").agg(F.sum("v").alias("v"))
-    ends = sides(cells, focal)
-    counts = ends.groupBy(*SIDE).agg(
-        total("v").alias("value"),
-        F.count_distinct("k").alias("n_products"),
-        F.count_distinct("partner").alias("n_partners"),
+    codes = code_totals(flows, focal, F.col("k"))
+    by_partner = F.col("dimension") == "country"
+    counts = codes.groupBy(*SIDE).agg(
+        total(F.when(by_partner, F.col("v"))).alias("value"),
+        F.count_if(~by_partner).alias("n_products"),
+        F.count_if(by_partner).alias("n_partners"),
     )
     # The partner is keyed by its name alone; equal sums go to the first name.
     leaders = (
-        with_partner_name(ends, countries)
+        with_partner_name(codes.filter(by_partner).withColumnRenamed("code", "partner"), countries)
         .groupBy(*SIDE, "partner_name")
         .agg(total("v").alias("value"))
         .groupBy(*SIDE)
@@ -113,15 +113,15 @@ def summary_report(flows: DataFrame, countries: DataFrame, focal: int | None = N
 
 def summary_kpis(flows: DataFrame, focal: int | None = None) -> DataFrame:
     """Totals, balance, export markets and export products."""
-    cells = touching(flows, focal).groupBy("i", "j", "k").agg(F.sum("v").alias("v"))
+    by_partner = F.col("dimension") == "country"
     return (
-        sides(cells, focal)
+        code_totals(flows, focal, F.col("k"))
         .groupBy("reporter")
         .agg(
-            total_if(is_export(), "v").alias("total_exports"),
-            total_if(is_import(), "v").alias("total_imports"),
-            F.count_distinct(F.when(is_export(), F.col("partner"))).alias("export_markets"),
-            F.count_distinct(F.when(is_export(), F.col("k"))).alias("export_products"),
+            total_if(is_export() & by_partner, "v").alias("total_exports"),
+            total_if(is_import() & by_partner, "v").alias("total_imports"),
+            F.count_if(is_export() & by_partner).alias("export_markets"),
+            F.count_if(is_export() & ~by_partner).alias("export_products"),
         )
         .withColumn("trade_balance", F.col("total_exports") - F.col("total_imports"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", app: str = "portolan") -> SparkSession:
@@ -16,6 +16,8 @@ def local_session(cores: str | int = "*", app: str = "portolan") -> SparkSession
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.autoBroadcastJoinThreshold", "64m")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -39,3 +41,9 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """Makes ``DataFrame.checkpoint`` usable, keeping a directory already set."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The table written to the checkpoint folder, so that later passes do not recompute it."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()

@@ -21,8 +21,20 @@ OTHER_TYPE = 6
 UNNAMED_NATION = 24
 
 
+# Declared columns: no job has to read file footers to find the types.
+COLUMNS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_brand string, p_type string, p_size int",
+    "nation": "n_nationkey int, n_name string",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
