@@ -33,7 +33,9 @@ from portolan.plans.session import settled
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Parameters of the published segmentation.
 SEED = 42
+RESTARTS = 10
 EPS = 0.5
 MIN_POINTS = 3
 
@@ -121,7 +123,7 @@ class KMeansSweep(NamedTuple):
 
 
 def kmeans_sweep(
-    points: DataFrame, max_k: int = 10, seed: int = SEED, restarts: int = 1, key: str = "partner"
+    points: DataFrame, max_k: int = 10, seed: int = SEED, restarts: int = RESTARTS, key: str = "partner"
 ) -> KMeansSweep:
     """K-means for 2..``max_k`` clusters; keeps the k with the best silhouette, the lowest on a tie.
 
@@ -327,7 +329,7 @@ def partner_points(
 
 
 def partner_segments(
-    flows: DataFrame, countries: DataFrame, focal: int, max_k: int = 10, seed: int = SEED, restarts: int = 1
+    flows: DataFrame, countries: DataFrame, focal: int, max_k: int = 10, seed: int = SEED, restarts: int = RESTARTS
 ) -> Segmentation:
     """Five robustly scaled features, swept k-means, density clusters, three components."""
     points = settled(partner_points(flows, countries, focal))

@@ -15,8 +15,8 @@ from portolan.functions.numeric import MILLION, change_pct, total, usd
 from portolan.operators.directional import exports, sides, top_per
 from portolan.operators.totals import yearly
 
-# A period is a year.  The pairwise slopes of one series live in one row, so a
-# series longer than this is refused rather than gathered.
+# A period is a year, so a series has as many points as there are years.  All
+# pairwise slopes of a series live in one row; a longer series is an error.
 MAX_PERIODS = 2000
 
 # Two-sided 95 % points of Student's t for 1 to 30 degrees of freedom.
@@ -218,3 +218,26 @@ def time_panel(flows: DataFrame, focal: int | None = None) -> DataFrame:
         change_pct(F.col("exports"), F.lag("exports").over(w)).alias("export_growth"),
         change_pct(F.col("imports"), F.lag("imports").over(w)).alias("import_growth"),
     )
+
+
+def trend_lines(flows: DataFrame, focal: int | None = None) -> DataFrame:
+    """Chart data: yearly values with the robust trend and the lines of its slope bounds.
+
+    The bound lines turn about the middle point of the series.
+    """
+    values = series(flows, focal)
+    t = F.col("t").cast("double")
+    middle = F.percentile(t, F.lit(0.5)).over(Window.partitionBy("direction", "reporter"))
+    at_middle = F.col("intercept") + F.col("slope") * F.col("middle")
+
+    def line(slope: str) -> Column:
+        return at_middle + F.col(slope) * (t - F.col("middle"))
+
+    return (
+        values.withColumn("middle", middle)
+        .join(trend_of(values), ["direction", "reporter"])
+        .select(
+            "direction", "reporter", "t", "v",
+            line("slope").alias("trend"), line("slope_low").alias("trend_low"), line("slope_high").alias("trend_high"),
+        )
+    )

@@ -154,8 +154,9 @@ def run_metadata(flows: DataFrame, focal: int | None = None) -> DataFrame:
 
 
 def data_overview(flows: DataFrame) -> DataFrame:
-    """Year range, total value and quantity and row count of the whole table."""
+    """Columns, year range, total value and quantity and row count of the whole table."""
     return flows.agg(
+        F.lit(",".join(flows.columns)).alias("columns"),
         F.min("t").alias("first_year"),
         F.max("t").alias("last_year"),
         total("v").alias("total_value"),

@@ -638,8 +638,8 @@ GROUP BY country_code HAVING count(*) > 1""",
     ),
     "data_overview": Query(
         lambda d, f: totals.data_overview(d.flows),
-        "first_year:int last_year:int total_value:num4 total_quantity:num records:long",
-        """SELECT min(t) AS first_year, max(t) AS last_year, CAST(sum(v) AS DOUBLE) AS total_value,
+        "columns:str first_year:int last_year:int total_value:num4 total_quantity:num records:long",
+        """SELECT 't,i,j,k,v,q' AS columns, min(t) AS first_year, max(t) AS last_year, CAST(sum(v) AS DOUBLE) AS total_value,
   sum(q) AS total_quantity, count(*) AS records FROM flows""",
         both=False,
     ),
@@ -762,6 +762,16 @@ FROM ({LEADING_PRODUCTS}) p JOIN (SELECT k, CAST(sum(v) AS DOUBLE) AS v FROM flo
   (exports + imports) / avg(exports + imports) OVER (PARTITION BY reporter) AS trade_openness,
   (exports / lag(exports) OVER (PARTITION BY reporter ORDER BY t) - 1) * 100 AS export_growth,
   (imports / lag(imports) OVER (PARTITION BY reporter ORDER BY t) - 1) * 100 AS import_growth FROM both_years""",
+    ),
+    "chart_trend_lines": Query(
+        lambda d, f: timeseries.trend_lines(d.flows, f),
+        "direction:str reporter:int t:int v:num4 trend:num2 trend_low:num2 trend_high:num2",
+        f"""SELECT s.direction, s.reporter, s.t, s.v, r.intercept + r.slope * m.mid + r.slope * (s.t - m.mid) AS trend,
+  r.intercept + r.slope * m.mid + r.slope_low * (s.t - m.mid) AS trend_low,
+  r.intercept + r.slope * m.mid + r.slope_high * (s.t - m.mid) AS trend_high
+FROM series s JOIN ({TREND}) r ON r.direction = s.direction AND r.reporter = s.reporter
+JOIN (SELECT direction, reporter, quantile_cont(CAST(t AS DOUBLE), 0.5) AS mid FROM series GROUP BY direction, reporter) m
+  ON m.direction = s.direction AND m.reporter = s.reporter""",
     ),
     "chart_partner_bars": Query(
         lambda d, f: charts.partner_bars(d.flows, d.countries, focal=f), "direction:str reporter:int rank:int partner_name:str value_busd:num",
@@ -937,7 +947,7 @@ JOIN ({_silhouette_sql('SELECT reporter, 0 AS labelling, partner, cluster FROM c
     ),
     # No SQL twins below: fits are iterative and labels and signs are free.
     "kmeans_sweep": Query(
-        lambda d, f: segments.kmeans_sweep(segments.partner_points(d.flows, d.countries, FOCAL)).scores,
+        lambda d, f: segments.kmeans_sweep(segments.partner_points(d.flows, d.countries, FOCAL), restarts=3).scores,
         "k:int inertia:num silhouette:num",
         both=False,
     ),
@@ -954,7 +964,7 @@ JOIN ({_silhouette_sql('SELECT reporter, 0 AS labelling, partner, cluster FROM c
         both=False,
     ),
     "partner_segments": Query(
-        lambda d, f: segments.partner_segments(d.flows, d.countries, FOCAL).partners,
+        lambda d, f: segments.partner_segments(d.flows, d.countries, FOCAL, restarts=3).partners,
         "reporter:int partner:int partner_name:str kmeans_cluster:int dbscan_cluster:int pca1:num pca2:num pca3:num",
         both=False,
     ),

@@ -112,6 +112,7 @@ def enhanced_report(data: TradeData, focal: int) -> Tables:
         "portfolio_matrix": complexity.portfolio_matrix(f, focal),
         "export_map": charts.export_map(f, c, focal),
         "time_panel": timeseries.time_panel(f, focal),
+        "trend_lines": timeseries.trend_lines(f, focal),
         "competitive_rank": competition.competitive_rank(f, focal=focal),
         "risk_indicators": concentration.risk_indicators(f, focal),
     }

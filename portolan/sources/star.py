@@ -21,20 +21,21 @@ OTHER_TYPE = 6
 UNNAMED_NATION = 24
 
 
-# Declared columns: no job has to read file footers to find the types.
+# Declared columns: no job has to read file footers to find the types.  Keys are
+# read at their widest; the order date is inferred, as files differ in its kind.
 COLUMNS = {
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, "
     "l_extendedprice double, l_discount double, l_tax double",
-    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
-    "customer": "c_custkey bigint, c_nationkey int",
-    "supplier": "s_suppkey bigint, s_nationkey int",
-    "part": "p_partkey bigint, p_brand string, p_type string, p_size int",
-    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_nationkey bigint",
+    "supplier": "s_suppkey bigint, s_nationkey bigint",
+    "part": "p_partkey bigint, p_brand string, p_type string, p_size bigint",
+    "nation": "n_nationkey bigint, n_name string",
 }
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(COLUMNS[name]) if name in COLUMNS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +59,12 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "orders")
         .select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("t"))
         .join(
-            _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("j")),
+            _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("int").alias("j")),
             "o_custkey",
         )
         .select(F.col("o_orderkey").alias("l_orderkey"), "t", "j")
     )
-    sellers = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("i"))
+    sellers = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("int").alias("i"))
     goods = _parts(spark, sf_dir).select(F.col("p_partkey").alias("l_partkey"), "k")
     value = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     quantity = F.when(F.col("l_tax") == 0.0, F.lit(None)).when(F.col("l_tax") == 0.01, F.lit(0.0)).otherwise(F.col("l_quantity"))
@@ -80,7 +81,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.col("n_nationkey")
+    code = F.col("n_nationkey").cast("int")
     return (
         _table(spark, sf_dir, "nation")
         .filter(code != UNNAMED_NATION)
