@@ -172,6 +172,14 @@ FROM (
     "reporter", "total_trade DESC, partner", 30,
 )
 
+BALANCE_EXTREMES = f"""SELECT reporter, count(*) FILTER (WHERE trade_balance > 0) AS surplus_partners,
+  count(*) FILTER (WHERE trade_balance < 0) AS deficit_partners,
+  max(CASE WHEN up = 1 THEN partner_name END) AS largest_surplus_partner, max(trade_balance) AS largest_surplus_usd,
+  max(CASE WHEN down = 1 THEN partner_name END) AS largest_deficit_partner, abs(min(trade_balance)) AS largest_deficit_usd
+FROM (SELECT *, row_number() OVER (PARTITION BY reporter ORDER BY trade_balance DESC, rank) AS up,
+             row_number() OVER (PARTITION BY reporter ORDER BY trade_balance, rank) AS down FROM ({BALANCE}) b) o
+GROUP BY reporter"""
+
 DIMENSION_VALUES = """SELECT direction, reporter, 'country' AS dimension, CAST(partner AS VARCHAR) AS code, CAST(sum(v) AS DOUBLE) AS value
 FROM d GROUP BY ALL
 UNION ALL
@@ -570,13 +578,7 @@ GROUP BY x.reporter, x.k, description, x.partner, country_name""",
         lambda d, f: partners.balance_extremes(d.flows, d.countries, 30, f),
         "reporter:int surplus_partners:long deficit_partners:long largest_surplus_partner:str largest_surplus_usd:num2 "
         "largest_deficit_partner:str largest_deficit_usd:num2",
-        f"""SELECT reporter, count(*) FILTER (WHERE trade_balance > 0) AS surplus_partners,
-  count(*) FILTER (WHERE trade_balance < 0) AS deficit_partners,
-  max(CASE WHEN up = 1 THEN partner_name END) AS largest_surplus_partner, max(trade_balance) AS largest_surplus_usd,
-  max(CASE WHEN down = 1 THEN partner_name END) AS largest_deficit_partner, abs(min(trade_balance)) AS largest_deficit_usd
-FROM (SELECT *, row_number() OVER (PARTITION BY reporter ORDER BY trade_balance DESC, rank) AS up,
-             row_number() OVER (PARTITION BY reporter ORDER BY trade_balance, rank) AS down FROM ({BALANCE}) b) o
-GROUP BY reporter""",
+        BALANCE_EXTREMES,
     ),
     "risk_indicators": Query(
         lambda d, f: concentration.risk_indicators(d.flows, f),
@@ -803,6 +805,13 @@ FROM ({PRODUCT_PROFILE}) p WHERE rank <= 10""",
         f"""SELECT *, {_thousands_sql('total_value_usd')} AS value_text,
   CASE WHEN length(description) > 80 THEN substr(description, 1, 80) || '...' ELSE description END AS label
 FROM ({PRODUCT_PROFILE}) p WHERE rank <= 10""",
+    ),
+    "table_balance_headlines": Query(
+        lambda d, f: charts.balance_headlines(d.flows, d.countries, f),
+        "reporter:int surplus_partners:long deficit_partners:long largest_surplus_partner:str surplus_text:str "
+        "largest_deficit_partner:str deficit_text:str",
+        f"""SELECT *, '$' || printf('%.1f', largest_surplus_usd / 1e9) || 'B' AS surplus_text,
+  '$' || printf('%.1f', largest_deficit_usd / 1e9) || 'B' AS deficit_text FROM ({BALANCE_EXTREMES}) h""",
     ),
     "table_emerging": Query(
         lambda d, f: charts.emerging_table(d.flows, d.countries, YEARS, focal=f),
