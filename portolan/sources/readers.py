@@ -78,6 +78,21 @@ def read_products(spark: SparkSession, path: str, fmt: str | None = None) -> Dat
     return _read(spark, path, S.PRODUCT, fmt)
 
 
+def store_flows(flows: DataFrame, path: str) -> None:
+    """Writes flows for repeated analysis: a folder per year, ordered by origin within.
+
+    The range split looks at all four keys, so one large origin or year spreads
+    over many files; the order lets a reporter's filter skip most of each file.
+    """
+    (
+        flows.repartitionByRange("t", "i", "j", "k")
+        .sortWithinPartitions("t", "i", "j")
+        .write.mode("overwrite")
+        .partitionBy("t")
+        .parquet(path)
+    )
+
+
 def drop_unknown(flows: DataFrame) -> DataFrame:
     """Flows with both value and quantity known."""
     return flows.na.drop(subset=["v", "q"])

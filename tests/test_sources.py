@@ -106,3 +106,12 @@ def test_merge_growth(flows, countries, products, as_rows):
     (got,) = as_rows(quality.merge_growth(df, names, goods))
     assert got == {"rows_before": 3, "rows_after": readers.enrich(df, names, goods).count(), "rows_added": 2 * 2 + 4 * 2 + 1 - 3}
     assert as_rows(quality.duplicate_keys(names, "country_code")) == [{"country_code": 50, "copies": 2}]
+
+
+def test_stored_flows_prune_years(spark, flows, tmp_path):
+    df = flows([(2019 + n % 3, n % 5, n % 7, 10100 + n, n, 1) for n in range(60)])
+    readers.store_flows(df, str(tmp_path / "stored"))
+    back = readers.read_flows(spark, str(tmp_path / "stored"))
+    assert back.select(*df.columns).exceptAll(df).isEmpty() and back.count() == 60
+    text = back.filter("t = 2020")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(t" in text
