@@ -44,17 +44,33 @@ def t_critical(df: Column) -> Column:
     )
 
 
-def balance_openness(flows: DataFrame, focal: int | None = None) -> DataFrame:
-    """Balance and openness (trade over its mean) for years with both directions."""
+def balance_openness_of(both: DataFrame) -> DataFrame:
+    """Balance and openness (trade over its mean) of yearly exports and imports."""
     trade = F.col("exports") + F.col("imports")
     mean = F.avg(trade).over(Window.partitionBy("reporter"))
-    return yearly(flows, focal, "both").select(
+    return both.select(
         "reporter", "t", "exports", "imports",
         (F.col("exports") - F.col("imports")).alias("trade_balance"),
         F.coalesce(F.try_divide(trade, mean), F.lit(0.0)).alias("trade_openness"),
     )
 
 
+def balance_openness(flows: DataFrame, focal: int | None = None) -> DataFrame:
+    """Balance and openness for years with both directions."""
+    return balance_openness_of(yearly(flows, focal, "both"))
+
+
+def series_of(yearly_values: DataFrame) -> DataFrame:
+    """Yearly exports and imports in long form (direction, reporter, t, v)."""
+    return yearly_values.select(
+        F.stack(F.lit(2), F.lit("export"), F.col("exports"), F.lit("import"), F.col("imports")).alias(
+            "direction", "v"
+        ),
+        "reporter",
+        "t",
+    ).select("direction", "reporter", "t", "v")
+
+
 def series(flows: DataFrame, focal: int | None = None, years: str = "both") -> DataFrame:
     """Yearly values in long form (direction, reporter, t, v).
 
@@ -63,13 +79,7 @@ def series(flows: DataFrame, focal: int | None = None, years: str = "both") -> D
     """
     if years == "own":
         return sides(flows, focal).groupBy("direction", "reporter", "t").agg(total("v").alias("v"))
-    return yearly(flows, focal, years).select(
-        F.stack(F.lit(2), F.lit("export"), F.col("exports"), F.lit("import"), F.col("imports")).alias(
-            "direction", "v"
-        ),
-        "reporter",
-        "t",
-    ).select("direction", "reporter", "t", "v")
+    return series_of(yearly(flows, focal, years))
 
 
 def growth_of(yearly_values: DataFrame) -> DataFrame:

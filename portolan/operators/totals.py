@@ -33,17 +33,8 @@ def trade_direction(flows: DataFrame, focal: int | None = None) -> DataFrame:
     )
 
 
-def yearly(flows: DataFrame, focal: int | None = None, years: str = "union") -> DataFrame:
-    """Exports and imports per year from one aggregation.
-
-    ``years`` picks the year axis: ``export`` keeps years with exports, ``union``
-    years with either, ``both`` years with both.
-    """
-    keep = {
-        "export": F.col("export_records") > 0,
-        "union": F.lit(True),
-        "both": (F.col("export_records") > 0) & (F.col("import_records") > 0),
-    }[years]
+def yearly_counts(flows: DataFrame, focal: int | None = None) -> DataFrame:
+    """Exports, imports and their record counts per year, from one aggregation."""
     return (
         sides(flows, focal)
         .groupBy("reporter", "t")
@@ -53,11 +44,26 @@ def yearly(flows: DataFrame, focal: int | None = None, years: str = "union") ->
             F.count_if(is_export()).alias("export_records"),
             F.count_if(is_import()).alias("import_records"),
         )
-        .filter(keep)
-        .drop("export_records", "import_records")
     )
 
 
+def on_years(counts: DataFrame, years: str) -> DataFrame:
+    """Picks the year axis: ``export`` keeps years with exports, ``union`` years with
+    either direction, ``both`` years with both.
+    """
+    keep = {
+        "export": F.col("export_records") > 0,
+        "union": F.lit(True),
+        "both": (F.col("export_records") > 0) & (F.col("import_records") > 0),
+    }[years]
+    return counts.filter(keep).drop("export_records", "import_records")
+
+
+def yearly(flows: DataFrame, focal: int | None = None, years: str = "union") -> DataFrame:
+    """Exports and imports per year on the chosen year axis."""
+    return on_years(yearly_counts(flows, focal), years)
+
+
 def yearly_trends(flows: DataFrame, focal: int | None = None, years: str = "export") -> DataFrame:
     """Exports, imports and balance per year."""
     return yearly(flows, focal, years).withColumn("balance", F.col("exports") - F.col("imports"))

@@ -427,7 +427,7 @@ FROM d GROUP BY reporter""",
     ),
     "trend": Query(
         lambda d, f: timeseries.trend(d.flows, f),
-        "direction:str reporter:int n:long slope:num4 intercept:num2 slope_low:num4 slope_high:num4",
+        "direction:str reporter:int n:long slope:num intercept:num0 slope_low:num slope_high:num",
         TREND,
     ),
     "product_lifecycle": Query(
@@ -713,7 +713,7 @@ FROM ({_ranked('SELECT direction, reporter, hs2_raw AS hs2, CAST(sum(v) AS DOUBL
         lambda d, f: charts.yearly_lines(d.flows, f), "reporter:int t:int exports:num4 imports:num4", YEARLY,
     ),
     "chart_yearly_billions": Query(
-        lambda d, f: charts.yearly_lines_billions(d.flows, f), "reporter:int t:int exports_busd:num imports_busd:num",
+        lambda d, f: charts.yearly_lines_billions(d.flows, f), "reporter:int t:int exports_busd:num10 imports_busd:num10",
         f"SELECT reporter, t, exports / 1e6 AS exports_busd, imports / 1e6 AS imports_busd FROM ({YEARLY}) y",
     ),
     "chart_hhi_gauge": Query(
@@ -759,7 +759,7 @@ FROM ({LEADING_PRODUCTS}) p JOIN (SELECT k, CAST(sum(v) AS DOUBLE) AS v FROM flo
     ),
     "chart_time_panel": Query(
         lambda d, f: timeseries.time_panel(d.flows, f),
-        "reporter:int t:int exports:num4 imports:num4 balance_busd:num trade_openness:num export_growth:num import_growth:num",
+        "reporter:int t:int exports:num4 imports:num4 balance_busd:num10 trade_openness:num export_growth:num import_growth:num",
         """SELECT *, (exports - imports) / 1e6 AS balance_busd,
   (exports + imports) / avg(exports + imports) OVER (PARTITION BY reporter) AS trade_openness,
   (exports / lag(exports) OVER (PARTITION BY reporter ORDER BY t) - 1) * 100 AS export_growth,
@@ -767,7 +767,7 @@ FROM ({LEADING_PRODUCTS}) p JOIN (SELECT k, CAST(sum(v) AS DOUBLE) AS v FROM flo
     ),
     "chart_trend_lines": Query(
         lambda d, f: timeseries.trend_lines(d.flows, f),
-        "direction:str reporter:int t:int v:num4 trend:num2 trend_low:num2 trend_high:num2",
+        "direction:str reporter:int t:int v:num4 trend:num0 trend_low:num0 trend_high:num0",
         f"""SELECT s.direction, s.reporter, s.t, s.v, r.intercept + r.slope * m.mid + r.slope * (s.t - m.mid) AS trend,
   r.intercept + r.slope * m.mid + r.slope_low * (s.t - m.mid) AS trend_low,
   r.intercept + r.slope * m.mid + r.slope_high * (s.t - m.mid) AS trend_high
@@ -776,21 +776,21 @@ JOIN (SELECT direction, reporter, quantile_cont(CAST(t AS DOUBLE), 0.5) AS mid F
   ON m.direction = s.direction AND m.reporter = s.reporter""",
     ),
     "chart_partner_bars": Query(
-        lambda d, f: charts.partner_bars(d.flows, d.countries, focal=f), "direction:str reporter:int rank:int partner_name:str value_busd:num",
+        lambda d, f: charts.partner_bars(d.flows, d.countries, focal=f), "direction:str reporter:int rank:int partner_name:str value_busd:num10",
         f"SELECT *, total_value_usd / 1e9 AS value_busd FROM ({PARTNER_PROFILE}) p WHERE rank <= 10",
     ),
     "chart_emerging_scatter": Query(
-        lambda d, f: charts.emerging_scatter(d.flows, d.countries, YEARS, f), "direction:str reporter:int partner_name:str value_musd:num growth_rate:num",
+        lambda d, f: charts.emerging_scatter(d.flows, d.countries, YEARS, f), "direction:str reporter:int partner_name:str value_musd:num10 growth_rate:num",
         f"SELECT *, total_value_usd / 1e6 AS value_musd FROM ({EMERGING}) e",
     ),
     "chart_product_bars": Query(
-        lambda d, f: charts.product_bars(d.flows, d.products, focal=f), "direction:str reporter:int rank:int label:str value_busd:num",
+        lambda d, f: charts.product_bars(d.flows, d.products, focal=f), "direction:str reporter:int rank:int label:str value_busd:num10",
         f"""SELECT *, total_value_usd / 1e9 AS value_busd,
   CASE WHEN length(description) > 50 THEN substr(description, 1, 50) || '...' ELSE description END AS label
 FROM ({PRODUCT_PROFILE}) p WHERE rank <= 10""",
     ),
     "chart_balance_bars": Query(
-        lambda d, f: charts.balance_bars(d.flows, d.countries, focal=f), "reporter:int rank:int partner_name:str balance_busd:num sign:str colour:str",
+        lambda d, f: charts.balance_bars(d.flows, d.countries, focal=f), "reporter:int rank:int partner_name:str balance_busd:num10 sign:str colour:str",
         f"""SELECT *, trade_balance / 1e9 AS balance_busd, CASE WHEN trade_balance > 0 THEN 'surplus' WHEN trade_balance < 0 THEN 'deficit' ELSE 'even' END AS sign,
   CASE WHEN trade_balance > 0 THEN 'green' ELSE 'red' END AS colour FROM ({BALANCE}) b WHERE rank <= 15""",
     ),
@@ -922,7 +922,7 @@ SEGMENTS: dict[str, Query] = {
     "partner_features": Query(
         lambda d, f: features.partner_features(d.flows, d.countries, f),
         "reporter:int partner:int partner_name:str total_value:num4 total_quantity:num product_diversity:long "
-        "years_active:long unit_value:num market_share:num avg_annual_trade:num4",
+        "years_active:long unit_value:num market_share:num avg_annual_trade:num",
         POINTS.format(scaled="1 AS one"),
     ),
     "standard_scaled_features": Query(

@@ -1,7 +1,8 @@
 """The four reports as named result tables.
 
-Each function returns a dictionary of DataFrames.  Nothing runs until a table is
-read or written, except the segmentation, whose fits are iterative.
+Each function returns a dictionary of DataFrames.  A table runs when it is read or
+written; the segmentation, the quantile search and shared yearly totals run their
+first passes when the report is built.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from portolan.operators import (
     timeseries,
     totals,
 )
+from portolan.plans.session import settled
 from portolan.schema import RECENT_YEARS
 from portolan.sinks import result_document, write_tables
 from portolan.sources.readers import TradeData, prepared_flows
@@ -71,24 +73,29 @@ def deep_report(data: TradeData, focal: int) -> Tables:
 
 
 def statistics_sections(data: TradeData, focal: int | None = None) -> Tables:
-    """The statistical and complexity results that carry a reporter."""
+    """The statistical and complexity results that carry a reporter.
+
+    The yearly totals behind four of them are computed once, when this is called.
+    """
     f = data.flows
-    penetration = complexity.mean_penetration(f, focal)
+    years = settled(totals.yearly_counts(f, focal))
+    both = totals.on_years(years, "both")
+    series = timeseries.series_of(both)
     return {
         "metadata": totals.run_metadata(f, focal),
         "summary_statistics": totals.summary_kpis(f, focal),
         "value_distribution": distribution.value_distribution(f, focal),
         "concentration": concentration.concentration(f, focal),
         "correlations": distribution.correlations(f, focal),
-        "yearly": totals.yearly(f, focal),
-        "balance_openness": timeseries.balance_openness(f, focal),
-        "growth_stats": timeseries.growth_stats(f, focal),
-        "trend": timeseries.trend(f, focal),
+        "yearly": totals.on_years(years, "union"),
+        "balance_openness": timeseries.balance_openness_of(both),
+        "growth_stats": timeseries.growth_stats_of(series),
+        "trend": timeseries.trend_of(series),
         "export_share_latest": timeseries.export_share_latest(f, focal=focal),
         "trade_intensity": products.trade_intensity(f, focal=focal),
         "export_complexity": complexity.export_complexity(f, focal),
         "economic_complexity": complexity.economic_complexity(f, focal),
-        "market_penetration": penetration,
+        "market_penetration": complexity.mean_penetration(f, focal),
         "opportunity_counts": complexity.opportunity_counts(f, focal=focal),
         "product_opportunities": complexity.product_opportunities(f, focal=focal),
     }
