@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from portolan.llm import quality, subtrees, suffixes
+from portolan.llm import bpe, quality, subtrees, suffixes, vectors
 from portolan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.digest(bpe.decode(encoded, ranks))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
@@ -29,10 +39,10 @@ SPACES = "'[\\x20\\x09-\\x0D]+'"
 
 OP8_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
-split AS (SELECT r, list_filter(string_split_regex(text, {SPACES}), x -> x <> '') AS w FROM docs),
+split AS (SELECT r, list_filter(string_split_regex(text, {SPACES}), lambda x: x <> '') AS w FROM docs),
 grams AS (
   SELECT r, unnest(range(1, len(w) - 1)) AS i,
-         unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g
+         unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g
   FROM split WHERE len(w) >= 3),
 repeats AS (
   SELECT r, count(DISTINCT p) AS n FROM (
@@ -61,10 +71,10 @@ SELECT *, NOT base_failed AND NOT (n_lost_words > 0 AND n_words - n_lost_words <
 
 OP10_SQL = f"""
 WITH split AS (
-  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), {SPACES}), x -> x <> '') AS w FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), {SPACES}), lambda x: x <> '') AS w FROM documents),
 windows AS (
   SELECT r, doc_id, unnest(range(1, len(w) - {subtrees.LENGTH - 2})) AS i,
-         unnest(list_transform(range(1, len(w) - {subtrees.LENGTH - 2}), i -> md5(list_aggregate(w[i : i + {subtrees.LENGTH - 1}], 'string_agg', ' ')))) AS g
+         unnest(list_transform(range(1, len(w) - {subtrees.LENGTH - 2}), lambda i: md5(list_aggregate(w[i : i + {subtrees.LENGTH - 1}], 'string_agg', ' ')))) AS g
   FROM split WHERE len(w) >= {subtrees.LENGTH}),
 covered AS (
   SELECT DISTINCT r, unnest(range(i, i + {subtrees.LENGTH})) AS p
@@ -79,7 +89,8 @@ FROM split LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 
 def queries() -> dict[str, Query]:
     """Name to callable (spark, sf_dir) -> DataFrame."""
-    return {f.__name__: f for f in (op8_quality_rules, op9_suffix_array_dedup, op10_substring_dedup)}
+    found = (op3_embedding_near_dedup, op7_byte_bpe, op8_quality_rules, op9_suffix_array_dedup, op10_substring_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
