@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portolan.plans.session import ensure_checkpoints
+from portolan.plans.session import ensure_checkpoints, shared_folder
 
 LAST = 2**63 - 1
 
@@ -24,6 +25,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written as a compressed table in the shared folder and read again; takes less room than a checkpoint."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """Join key of a document: its id, or a hash of its text where the id is NULL.
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.repeats import GROUP_BYTES, Words, remove_repeats
+from portolan.llm.repeats import GROUP_UNITS, Words, remove_repeats
 
 LENGTH = 13
 PREFIX = 5
@@ -35,7 +35,7 @@ def deep_nodes(suffixes: np.ndarray) -> np.ndarray:
 
 
 def _search(length: int):
-    def found(groups: list, cids: list, contexts: list, orders: list, counts: list) -> list[tuple]:
+    def found(groups: list, hashes: list, contexts: list, orders: list, counts: list) -> list[tuple]:
         names: dict[bytes, int] = {}
         ids = [np.array([names.setdefault(w, len(names)) for w in c.split(b" ")], np.int32) for c in contexts]
         sizes = np.array([len(x) - length + 1 for x in ids])
@@ -47,19 +47,19 @@ def _search(length: int):
         np.minimum.at(least, node, np.repeat(np.array(orders, np.int64), sizes))
         low = least[node]
         out, at = [], 0
-        for cid, order, count, size in zip(cids, orders, counts, sizes.tolist()):
+        for h, c, order, count, size in zip(groups, hashes, orders, counts, sizes.tolist()):
             own = low[at : at + size]
             at += size
             starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
             ends = np.append(starts[1:], size)
             # the first document keeps its text: rows that could not remove anything stay here
-            out += [(cid, a, b, v) for a, b, v in zip(starts.tolist(), ends.tolist(), own[starts].tolist()) if v < order or count > 1]
+            out += [(h, c, a, b, v) for a, b, v in zip(starts.tolist(), ends.tolist(), own[starts].tolist()) if v < order or count > 1]
         return out
 
     return found
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, group_units: int = GROUP_UNITS) -> DataFrame:
     """Removes every word covered by ``length`` words that also start in a document with a smaller id.
 
     ``docs`` needs doc_id and text; other columns are not read. Returns one row
@@ -71,7 +71,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX
     all others, and rows with NULL ids do not remove from each other. An empty
     table gives an empty result.
     """
-    return remove_repeats(docs, Words(length, prefix), _search(length), smaller=True, group_bytes=group_bytes)
+    return remove_repeats(docs, Words(length, prefix), _search(length), smaller=True, group_units=group_units)
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.repeats import GROUP_BYTES, Bytes, remove_repeats
+from portolan.llm.repeats import GROUP_UNITS, Bytes, remove_repeats
 
 LENGTH = 400
 GRAM = 32
@@ -131,13 +131,13 @@ def repeated_windows(contexts: list[bytes], counts: list[int], length: int) -> l
 
 
 def _search(length: int):
-    def found(groups: list, cids: list, contexts: list, orders: list, counts: list) -> list[tuple]:
+    def found(groups: list, hashes: list, contexts: list, orders: list, counts: list) -> list[tuple]:
         out: list[tuple] = []
 
         def close(a: int, b: int) -> None:
             for i, flags in zip(range(a, b), repeated_windows(contexts[a:b], counts[a:b], length)):
                 turns = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))).tolist()
-                out.extend((cids[i], s, e, 0) for s, e in zip(turns[::2], turns[1::2]))
+                out.extend((groups[i], hashes[i], s, e, 0) for s, e in zip(turns[::2], turns[1::2]))
 
         start = held = 0
         for i in range(len(groups)):
@@ -152,7 +152,7 @@ def _search(length: int):
     return found
 
 
-def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_units: int = GROUP_UNITS) -> DataFrame:
     """Removes every byte covered by a ``length``-byte string that also starts anywhere else.
 
     ``docs`` needs doc_id and text; other columns are not read. Returns one row
@@ -163,7 +163,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_b
     have no bytes. Repeated rows are separate documents, whatever their ids; a
     NULL id is kept as it is. An empty table gives an empty result.
     """
-    return remove_repeats(docs, Bytes(length, gram), _search(length), smaller=False, group_bytes=group_bytes)
+    return remove_repeats(docs, Bytes(length, gram), _search(length), smaller=False, group_units=group_units)
 
 
 def digest(result: DataFrame) -> DataFrame:

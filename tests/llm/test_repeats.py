@@ -69,12 +69,12 @@ def odd_rows(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("group_bytes", [4_000_000, 100])
-def test_odd_rows(documents, group_bytes):
+@pytest.mark.parametrize("group_units", [4_000_000, 100])
+def test_odd_rows(documents, group_units):
     rows = odd_rows()
-    df = documents(rows, extra=("k", "h", "o", "hs", "found", "kept", "cid"))
-    assert got(subtrees.digest(subtrees.dedup_substrings(df, group_bytes=group_bytes))) == expected_words(rows, 13)
-    assert got(suffixes.digest(suffixes.dedup_bytes(df, 40, 16, group_bytes=group_bytes))) == expected_bytes(rows, 40)
+    df = documents(rows, extra=("k", "h", "o", "c", "found", "kept", "size"))
+    assert got(subtrees.digest(subtrees.dedup_substrings(df, group_units=group_units))) == expected_words(rows, 13)
+    assert got(suffixes.digest(suffixes.dedup_bytes(df, 40, 16, group_units=group_units))) == expected_bytes(rows, 40)
 
 
 def test_empty_table(documents):
