@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from portolan.llm import bpe, quality, subtrees, suffixes, vectors
+from portolan.llm import bpe, quality, subtrees, suffixes, toxicity, vectors
 from portolan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -89,7 +94,7 @@ FROM split LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 
 def queries() -> dict[str, Query]:
     """Name to callable (spark, sf_dir) -> DataFrame."""
-    found = (op3_embedding_near_dedup, op7_byte_bpe, op8_quality_rules, op9_suffix_array_dedup, op10_substring_dedup)
+    found = (op1_toxicity, op3_embedding_near_dedup, op7_byte_bpe, op8_quality_rules, op9_suffix_array_dedup, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
