@@ -17,19 +17,25 @@ import heapq
 import re
 import sys
 import unicodedata
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portolan.llm.common import groups
 
 #: Characters of text in a block, at least one document.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 16_000_000
+#: Pre-tokens in a document row, at least one document.
+CHUNK_TOKENS = 200_000
+#: Words whose ids a task keeps at hand.
+KNOWN_WORDS = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,25 +44,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _ranges(test: Callable[[str], bool]) -> str:
-    """Regular-expression ranges of all characters that pass ``test``."""
-    out, start, before = [], None, None
-    for code in [c for c in range(sys.maxunicode + 1) if test(chr(c))]:
-        if before is None or code != before + 1:
-            if start is not None:
-                out.append((start, before))
-            start = code
-        before = code
-    if start is not None:
-        out.append((start, before))
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+def _ranges(test: Callable[[str], bool], last: int) -> str:
+    """Regular-expression ranges of all characters up to ``last`` that pass ``test``."""
+    codes = np.array([c for c in range(last + 1) if test(chr(c))])
+    cuts = np.flatnonzero(np.diff(codes) > 1)
+    starts, ends = np.concatenate(([0], cuts + 1)), np.append(cuts, len(codes) - 1)
+    return "".join(f"\\U{x:08x}-\\U{y:08x}" for x, y in zip(codes[starts].tolist(), codes[ends].tolist()))
 
 
 @cache
-def splitter(pattern: str) -> re.Pattern:
-    """The pattern with its Unicode classes written as ranges, which the standard library matches fast."""
-    letters = _ranges(lambda c: unicodedata.category(c)[0] == "L")
-    numbers = _ranges(lambda c: unicodedata.category(c)[0] == "N")
+def splitter(pattern: str, wide: bool = True) -> re.Pattern:
+    """The pattern with its Unicode classes written as ranges, which the standard library matches fast.
+
+    Without ``wide`` the ranges stop at U+FFFF, which is faster and enough for
+    texts without characters above.
+    """
+    last = sys.maxunicode if wide else 0xFFFF
+    letters = _ranges(lambda c: unicodedata.category(c)[0] == "L", last)
+    numbers = _ranges(lambda c: unicodedata.category(c)[0] == "N", last)
     # The characters with the White_Space property
     space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
     # inside a class first, then on their own
@@ -66,6 +71,12 @@ def splitter(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 
 
+def pre_tokens(text: str, pattern: str) -> list[str]:
+    """The matches of the pattern in a text."""
+    narrow = len(text.encode("utf-16-le")) == 2 * len(text)
+    return splitter(pattern, not narrow).findall(text)
+
+
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: the adjacent pair of lowest rank is merged until none has a rank."""
     whole = ranks.get(word)
@@ -124,69 +135,99 @@ def unpack(packed: bytes) -> np.ndarray:
     return out
 
 
-def _blocks(pattern: str) -> Callable:
-    """Word rows (block, number, word) and document rows (block, doc_id, codes) of every block.
+def _press(*parts: bytes) -> bytes:
+    sizes = np.array([len(x) for x in parts], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(sizes + b"".join(parts))
+
+
+def _unpress(blob: bytes, n: int) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    ends = np.cumsum(np.frombuffer(raw[: 4 * n], "<u4").astype(np.int64)) + 4 * n
+    return [raw[a:b] for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _row(target: int, block: int, words: bool, ids: list, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([target], pa.int64()), pa.array([block], pa.int64()), pa.array([words]), pa.array([ids], pa.list_(pa.int64())), pa.array([blob], pa.binary())],
+        ["target", "block", "words", "doc_ids", "blob"],
+    )
+
+
+def _blocks(pattern: str, parts: int) -> Callable:
+    """Rows of two kinds for every block, each sent to its ``target``.
 
-    A block is named by a hash of its words in order, so that word rows and
-    document rows of different contents never meet. Blocks of equal name have
-    equal words and may share them.
+    A word row holds those distinct words of the block that one of ``parts``
+    places encodes, with their numbers, and goes there. A document row holds some
+    documents as the numbers of their pre-tokens and goes to the block's place.
+    Blocks are named by a hash of their words in order, so that rows of different
+    contents never meet; blocks of equal name have equal words and may share them.
     """
 
-    def closed(texts: list, ids: list) -> Iterator[pa.RecordBatch]:
-        found = splitter(pattern).findall
-        number: dict[str, int] = {}
-        docs = [[number.setdefault(t, len(number)) for t in found(text)] if text else [] for text in texts]
-        sizes = [len(d) for d in docs]
-        flat = np.fromiter((x for d in docs for x in d), np.int64, sum(sizes))
+    def closed(docs: list[np.ndarray], ids: list, number: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        flat = np.concatenate(docs)
         order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")  # frequent words get short codes
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        flat = rank[flat]
-        names = list(number)
-        words = [names[i].encode() for i in order]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        names = [w.encode() for w in number]
+        words = [names[i] for i in order.tolist()]
         block = xxhash.xxh3_64_intdigest(b"\0".join(words)) - 2**63
-        cuts = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-        n, m = len(words), len(texts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
-            ["block", "number", "word", "doc_id", "codes"],
-        )
-        codes = [pack(flat[a:b]) for a, b in zip(cuts, cuts[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(m, block)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(ids, pa.int64()), pa.array(codes, pa.binary())],
-            ["block", "number", "word", "doc_id", "codes"],
-        )
+        place = np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in words), np.int64, len(words))
+        by_place = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[by_place], np.arange(parts + 1)).tolist()
+        for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                numbers = by_place[a:b]
+                own = [words[i] for i in numbers.tolist()]
+                sizes = np.array([len(w) for w in own])
+                yield _row(part, block, True, [], _press(pack(np.diff(numbers, prepend=0)), pack(sizes), b"".join(own)))
+        start = 0
+        ends = np.cumsum([len(d) for d in docs])
+        for i in range(len(docs)):
+            if i + 1 == len(docs) or ends[i] - (ends[start - 1] if start else 0) >= CHUNK_TOKENS:
+                some = docs[start : i + 1]
+                blob = _press(pack(np.array([len(d) for d in some])), pack(rank[np.concatenate(some)]))
+                yield _row(block, block, False, ids[start : i + 1], blob)
+                start = i + 1
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ids, held = [], [], 0
+        docs, ids, held, number = [], [], 0, defaultdict(count().__next__)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                texts.append(text)
+                docs.append(np.array([number[t] for t in pre_tokens(text, pattern)] if text else [], np.int32))
                 ids.append(doc_id)
                 held += len(text or "")
                 if held >= BLOCK_CHARS:
-                    yield from closed(texts, ids)
-                    texts, ids, held = [], [], 0
-        if texts:
-            yield from closed(texts, ids)
+                    yield from closed(docs, ids, number)
+                    docs, ids, held, number = [], [], 0, defaultdict(count().__next__)
+        if docs:
+            yield from closed(docs, ids, number)
 
     return rows
 
 
 def _merged(ranks: dict[bytes, int]) -> Callable:
-    """Ids of sorted words; a word that comes from many blocks is merged once."""
+    """Ids of the words that meet here; each distinct word is merged once. Document rows pass."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids = None, []
+        known: dict[bytes, list[int]] = {}
         for batch in batches:
-            out = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, merge(word, ranks)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("number"), pa.array(out, pa.list_(pa.int32()))], ["block", "number", "ids"]
-            )
+            for target, block, words, doc_ids, blob in zip(*(batch.column(c).to_pylist() for c in ("target", "block", "words", "doc_ids", "blob"))):
+                if not words:
+                    yield _row(target, block, words, doc_ids, blob)
+                    continue
+                numbers, sizes, raw = _unpress(blob, 3)
+                ends = np.cumsum(unpack(sizes)).tolist()
+                counts, out = [], []
+                for a, b in zip([0, *ends[:-1]], ends):
+                    word = raw[a:b]
+                    ids = known.get(word)
+                    if ids is None:
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()  # bounds the memory; a word seen again is merged again
+                        ids = known[word] = merge(word, ranks)
+                    counts.append(len(ids))
+                    out += ids
+                yield _row(block, block, True, [], _press(numbers, pack(np.array(counts)), pack(np.array(out))))
 
     return rows
 
@@ -198,33 +239,32 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 def _assembled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as ids: the words of a block come first, in order of number, then its documents."""
-    for part in groups(batches, "block"):
-        block, number = part.column("block").to_numpy(), part.column("number").to_numpy(zero_copy_only=False)
-        cuts = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)])).tolist()
-        for a, b in zip(cuts, cuts[1:]):
-            word = ~np.isnan(number[a:b]) if number.dtype.kind == "f" else np.ones(b - a, bool)
-            n = int(word.sum())
-            own = number[a : a + n].astype(np.int64)
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if n else np.zeros(0, np.int64)
-            if not np.array_equal(own[first], np.arange(len(first))):
+    """Documents as ids: the word rows of a block come first, then its document rows."""
+    block, pieces, values, starts, sizes = None, [], None, None, None
+    for batch in batches:
+        for name, words, doc_ids, blob in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "doc_ids", "blob"))):
+            if name != block:
+                block, pieces, values = name, [], None
+            if words:
+                pieces.append(blob)
+                continue
+            if values is None:
+                parts = [[unpack(x) for x in _unpress(p, 3)] for p in pieces]
+                numbers = np.concatenate([np.cumsum(x[0]) for x in parts] or [np.zeros(0, np.int64)])
+                counts = np.concatenate([x[1] for x in parts] or [numbers])
+                values = np.concatenate([x[2] for x in parts] or [numbers]).astype(np.int32)
+                n = int(numbers.max()) + 1 if len(numbers) else 0
+                starts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                starts[numbers], sizes[numbers] = np.cumsum(counts) - counts, counts
+            lengths, codes = (unpack(x) for x in _unpress(blob, 2))
+            if len(codes) and (codes.max() >= len(sizes) or not sizes[codes].all()):
                 raise RuntimeError("the words of a block changed when its documents were read again")
-            lists = part.column("ids").slice(a, n).combine_chunks()
-            values = lists.flatten().to_numpy()
-            sizes = np.diff(lists.offsets.to_numpy())
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))[first] if n else sizes
-            sizes = sizes[first]
-            for at in range(a + n, b, 500):
-                rest = part.slice(at, min(500, b - at))
-                out = []
-                for codes in rest.column("codes").to_pylist():
-                    code = unpack(codes)
-                    if len(code) and code.max() >= len(sizes):
-                        raise RuntimeError("the words of a block changed when its documents were read again")
-                    out.append(gather(values, starts[code], sizes[code]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [rest.column("doc_id").combine_chunks(), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"]
-                )
+            ids = gather(values, starts[codes], sizes[codes])
+            ends = np.concatenate(([0], np.cumsum(sizes[codes])))
+            cuts = ends[np.concatenate(([0], np.cumsum(lengths)))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))], ["doc_id", "ids"]
+            )
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -232,21 +272,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
     Each match of ``pattern`` is encoded separately. NULL and empty texts have no
     ids; NULL and repeated ids stay rows of their own; an empty table gives an
-    empty result; other columns are not read. ``docs`` is read twice and must
-    then give the same rows in the same tasks, as a table does; if it does not,
-    the job fails.
+    empty result; other columns are not read. Words are encoded in as many places
+    as the session has shuffle partitions. If a lost task is run again and its
+    input has changed meanwhile, the job fails instead of mixing both.
     """
-    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _blocks(pattern), "block long, number int, word binary, doc_id long, codes binary"
-    )
-    words = (
-        blocks.filter("word IS NOT NULL").select("block", "number", "word").repartition("word").sortWithinPartitions("word")
-        .mapInArrow(_merged(ranks), "block long, number int, ids array<int>")
-    )
-    texts = blocks.filter("codes IS NOT NULL").select("block", "doc_id", "codes")
-    both = words.unionByName(texts, allowMissingColumns=True)
-    both = both.repartition("block").sortWithinPartitions("block", F.col("number").asc_nulls_last())
-    return both.mapInArrow(_assembled, "doc_id long, ids array<int>")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    row = "target long, block long, words boolean, doc_ids array<long>, blob binary"
+    blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_blocks(pattern, parts), row)
+    merged = blocks.repartition("target").mapInArrow(_merged(ranks), row)
+    whole = merged.repartition("block").sortWithinPartitions("block", F.col("words").desc())
+    return whole.mapInArrow(_assembled, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -40,6 +40,7 @@ def test_odd_texts(documents, monkeypatch, chars):
     ]
     df = documents(rows, extra=("block", "word", "codes", "ids"))
     monkeypatch.setattr(bpe, "BLOCK_CHARS", chars)
+    monkeypatch.setattr(bpe, "CHUNK_TOKENS", chars)
     assert got(df) == expected(rows)
     assert got(df.limit(0)) == []
 
@@ -49,7 +50,8 @@ def test_splitter_equals_the_pattern():
     exact = regex.compile(public_tokenizers.PATTERN)
     for _ in range(300):
         text = "".join(rnd.choice([" ", "  ", "\n", "é", "ß", "7", "٣", "'s", "_", ".", "a", "B", "\t", "\xa0", "ñ", "中", "½"]) for _ in range(40))
-        assert bpe.splitter(public_tokenizers.PATTERN).findall(text) == exact.findall(text)
+        assert bpe.pre_tokens(text, public_tokenizers.PATTERN) == exact.findall(text)
+        assert bpe.pre_tokens(text + "𝒳😀𐍈", public_tokenizers.PATTERN) == exact.findall(text + "𝒳😀𐍈")
 
 
 def test_merge_equals_the_tokenizer_library():
