@@ -5,8 +5,9 @@ is a Poisson process whose rate is its weight; each arrival draws one register o
 the signature, and a register keeps the shingle that arrived first. A shingle
 stops as soon as its next arrival is later than every register, so most stop at
 the first. Two signatures agree in a register with the probability Jaccard
-similarity of the sets. Bands of registers give candidates; those are verified
-with the exact similarity before they link.
+similarity of the sets. Texts that share a band of registers are candidates;
+groups of candidates are verified with the exact similarity, block against block
+inside tasks, before anything links. No row per pair leaves a task.
 """
 
 from __future__ import annotations
@@ -19,13 +20,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.llm.common import LAST, stored
+from portolan.llm.common import LAST, groups, stored
 from portolan.llm.graph import components
+from portolan.llm.vectors import connected
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS = 24
-ROWS = 5
+BANDS = 22
+ROWS = 6
+#: Texts in one block of a large group of candidates.
+BLOCK = 512
+#: What sums of floating-point numbers may lack.
+EPSILON = 1e-9
 SEED = 0x5EED
 _MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15], np.uint64)
 
@@ -96,12 +102,17 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (high_x[both] / x[both] + low_y[both] / y[both])).sum())
 
 
+def _words(text: str | None) -> list[bytes]:
+    """Lower-case words between ASCII white space."""
+    return (text or "").lower().encode().split()
+
+
 def _signed(bands: int, rows: int, size: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = []
-            for words in batch.column("words").to_pylist():
-                items, counts = shingles(words.encode().split(b" "), size)
+            for text in batch.column("text").to_pylist():
+                items, counts = shingles(_words(text), size)
                 owner = signature(items, counts, bands * rows).reshape(bands, rows)
                 mixed = np.arange(bands, dtype=np.uint64)
                 for i in range(rows):
@@ -112,39 +123,71 @@ def _signed(bands: int, rows: int, size: int) -> Callable:
     return run
 
 
+def links_among(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float, side: np.ndarray | None = None) -> np.ndarray:
+    """Smallest position that each weighted set is connected with by links of ``threshold`` or more.
+
+    With ``side`` only sets of different sides are compared. Shared weights of
+    all pairs come from matrix products over the items that two sets share, some
+    items at a time. Where no weight differs from one they give the similarity
+    itself; else they bound it from above, and a pair that may reach the
+    threshold is computed, unless it is connected already.
+    """
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(items) for items, _ in sets])
+    items, column, holders = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True, return_counts=True)
+    weight = np.concatenate([w for _, w in sets]).astype(np.float64)
+    total = np.array([w.sum() for _, w in sets], np.float64)
+    unit = np.array([bool((w == 1).all()) for _, w in sets])
+    shared = holders[column] > 1
+    owner, weight = owner[shared], weight[shared]
+    _, column = np.unique(column[shared], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, weight, column = owner[order], weight[order], column[order]
+    common = np.zeros((n, n))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (low, low + 4096))
+        amounts, marks = np.zeros((n, 4096), np.float32), np.zeros((n, 4096), np.float32)
+        amounts[owner[a:b], column[a:b] - low] = weight[a:b]
+        marks[owner[a:b], column[a:b] - low] = 1
+        common += amounts @ marks.T
+    both_unit = unit[:, None] & unit[None, :]
+    most = np.minimum(common / total[:, None], (common / total[:, None]).T)
+    exact = common / (total[:, None] + total[None, :] - common)
+    allowed = np.triu(np.ones((n, n), bool), 1)
+    if side is not None:
+        allowed &= side[:, None] != side[None, :]
+    root = connected(n, *np.nonzero(allowed & both_unit & (exact >= threshold - EPSILON)))
+    left = np.argwhere(allowed & ~both_unit & (most >= threshold - EPSILON))
+    for i, j in left[np.argsort(-most[left[:, 0], left[:, 1]], kind="stable")].tolist() if len(left) else ():
+        if root[i] != root[j] and probability_jaccard(sets[i], sets[j]) >= threshold - EPSILON:
+            root[root == max(root[i], root[j])] = min(root[i], root[j])
+    return root
+
+
 def _verified(threshold: float, size: int) -> Callable:
-    """Pairs (a, b) of rows (a, b, words_a, words_b) that are similar enough."""
+    """Verified connections (v, root) inside every block, or pair of blocks, of a group of candidates."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, None
-        for batch in batches:
-            near = []
-            for x, a, b in zip(*(batch.column(c).to_pylist() for c in ("a", "words_a", "words_b"))):
-                if x != last:
-                    last, first = x, shingles(a.encode().split(b" "), size)
-                near.append(probability_jaccard(first, shingles(b.encode().split(b" "), size)) >= threshold)
-            keep = pa.array(near, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+        for part in groups(batches, "file", rows=200):
+            names, v, side, low, high = (part.column(c).to_pylist() for c in ("file", "v", "side", "low", "high"))
+            cuts = [0, *(x for x in range(1, len(names)) if names[x] != names[x - 1]), len(names)]
+            for s, e in zip(cuts, cuts[1:]):
+                if e - s > 1:
+                    sets = [shingles(_words(t), size) for t in part.column("text").slice(s, e - s).to_pylist()]
+                    root = links_among(sets, threshold, np.array(side[s:e]) if low[s] != high[s] else None)
+                    a = [(v[s + x], v[s + y]) for x, y in enumerate(root.tolist()) if x != y]
+                    if a:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*a)], ["a", "b"])
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
-    rows = (
-        pairs.join(texts.select(F.col("v").alias("b"), F.col("words").alias("words_b")), "b")
-        .join(texts.select(F.col("v").alias("a"), F.col("words").alias("words_a")), "a")
-        .select("a", "b", "words_a", "words_b")
-    )
-    return stored(rows.mapInArrow(_verified(threshold, size), "a long, b long"))
-
-
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
-    """Rows with their words in lower case, ``v``, a hash of them (NULL where there are none), and the order of the id."""
-    words = F.trim(F.regexp_replace(F.lower(F.col("text").cast("string")), "[ \\t-\\r]+", " "))
-    words = F.when(words != "", words)
-    doc_id = F.col("doc_id").cast("long")
+    """Rows with ``v``, a hash of the text (NULL if it has no word), and the order of the id."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    worded = F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) > 0
     return docs.select(
-        doc_id.alias("doc_id"), words.alias("words"), F.when(words.isNotNull(), F.xxhash64(words)).alias("v"),
+        doc_id.alias("doc_id"), text.alias("text"), F.when(worded, F.xxhash64(text)).alias("v"),
         F.coalesce(doc_id, F.lit(LAST)).alias("d"), doc_id.isNull().cast("int").alias("no_id"), *more,
     )
 
@@ -152,24 +195,19 @@ def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
 def _winners(source: DataFrame, threshold: float, bands: int, rows: int, size: int) -> DataFrame:
     """For every text hash ``v``: ``top``, the row of its class that stays, as (no_id, d, v)."""
     worded = source.filter("v IS NOT NULL")
-    signed = stored(
-        worded.select("v", "words").mapInArrow(_signed(bands, rows, size), "v long, keys array<long>").groupBy("v").agg(F.first("keys").alias("keys"))
-    )
-    members = signed.select("v", F.explode("keys").alias("key"))
+    signed = worded.select("v", "text").mapInArrow(_signed(bands, rows, size), "v long, keys array<long>").groupBy("v").agg(F.first("keys").alias("keys"))
     in_band = Window.partitionBy("key")
-    star = stored(members.withColumn("a", F.min("v").over(in_band)).filter("a <> v").select("a", F.col("v").alias("b")).distinct())
-    ends = star.select(F.col("a").alias("v")).unionByName(star.select(F.col("b").alias("v"))).distinct()
-    texts = stored(worded.select("v", "words").join(ends, "v").groupBy("v").agg(F.first("words").alias("words")))
-    links = _links(star, texts, threshold, size)
-    found = stored(components(links))
-    # Texts of one band that are still in different classes: all their pairs, but those that were compared.
-    labelled = members.join(found.select(F.col("node").alias("v"), "component"), "v", "left").select("key", "v", F.coalesce("component", "v").alias("component"))
-    apart = labelled.withColumn("low", F.min("component").over(in_band)).withColumn("high", F.max("component").over(in_band)).filter("low <> high")
-    rest = (
-        apart.alias("x").join(apart.alias("y"), F.expr("x.key = y.key AND x.v < y.v AND x.component <> y.component"))
-        .select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    )
-    classes = components(links.unionByName(_links(rest, texts, threshold, size))).withColumnRenamed("node", "v")
+    star = signed.select("v", F.explode("keys").alias("key")).withColumn("a", F.min("v").over(in_band)).filter("a <> v")
+    # Whatever shares a band is in one group, so that every candidate pair is inside a group.
+    candidates = stored(components(star.select("a", F.col("v").alias("b"))).select(F.col("node").alias("v"), F.col("component").alias("group")))
+    sizes = candidates.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    member = candidates.join(sizes, "group").withColumn("side", F.pmod(F.hash("v"), "blocks"))
+    texts = worded.select("v", "text").join(member, "v").groupBy("v", "group", "blocks", "side").agg(F.first("text").alias("text"))
+    spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("side", "other"), F.greatest("side", "other")
+    files = spread.select(F.concat_ws("/", "group", low, high).alias("file"), "v", "side", low.alias("low"), high.alias("high"), "text")
+    links = stored(files.repartition("file").sortWithinPartitions("file").mapInArrow(_verified(threshold, size), "a long, b long"))
+    classes = components(links).withColumnRenamed("node", "v")
     order = F.min(F.struct("no_id", "d", "v"))
     firsts = worded.groupBy("v").agg(F.min(F.struct("no_id", "d")).alias("own"))
     known = firsts.join(classes, "v", "left").select("v", F.coalesce("component", "v").alias("component"), "own.no_id", "own.d")
@@ -184,10 +222,8 @@ def near_documents(docs: DataFrame, threshold: float = THRESHOLD, bands: int = B
     connected components of the links. ``class_id`` is the smallest doc_id of the
     class; ``kept`` marks the one row of the class that stays, which has that id.
 
-    Rows whose words are equal are one text. Each band links its texts to the
-    smallest of the band first; those that the band then still holds in different
-    classes are compared pair by pair, so that no candidate pair is left out.
-    NULL and wordless texts link with nothing and stay, each a class of its own;
+    Rows of equal text are one text. A pair exactly at the threshold shares a band
+    with probability 0.998; every candidate pair is compared. NULL and wordless texts link with nothing and stay, each a class of its own;
     a text of fewer words than a shingle is one shingle. A NULL id is never the
     smallest; a class without ids has class_id NULL. Of equal rows with the
     class's id one stays. An empty table gives an empty result; other columns are
@@ -207,5 +243,5 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     source = _keyed(docs, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     tops = _winners(source.drop("row"), threshold, bands, rows, size).select("top.v", "top.d", "top.no_id").distinct()
     turn = F.row_number().over(Window.partitionBy("v", "d", "no_id").orderBy("doc_id"))
-    stay = source.drop("words").join(tops, ["v", "d", "no_id"]).withColumn("turn", turn).filter("turn = 1").select("row")
+    stay = source.drop("text").join(tops, ["v", "d", "no_id"]).withColumn("turn", turn).filter("turn = 1").select("row")
     return stay.unionByName(source.filter("v IS NULL").select("row")).select(*[F.col("row")[c].alias(c) for c in names])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from portolan.llm import bpe, mixing, probminhash, quality, subtrees, suffixes, toxicity, vectors
+from portolan.llm import bpe, lines, mixing, probminhash, quality, subtrees, suffixes, toxicity, vectors
 from portolan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.near_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -102,7 +106,7 @@ FROM split LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 
 def queries() -> dict[str, Query]:
     """Name to callable (spark, sf_dir) -> DataFrame."""
-    found = (op1_toxicity, op3_embedding_near_dedup, op4_mix_sources, op6_minhash_near_dedup, op7_byte_bpe, op8_quality_rules, op9_suffix_array_dedup, op10_substring_dedup)
+    found = (op1_toxicity, op2_line_dedup, op3_embedding_near_dedup, op4_mix_sources, op6_minhash_near_dedup, op7_byte_bpe, op8_quality_rules, op9_suffix_array_dedup, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 

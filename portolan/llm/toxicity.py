@@ -27,6 +27,8 @@ GRAMS = (4, 5, 6)
 DIMENSIONS = 4
 #: At most so many labelled rows of each class are used for training.
 SAMPLE_PER_CLASS = 2500
+#: Words whose features are computed together in training.
+WORDS_AT_ONCE = 50_000
 #: Longest part of a word whose n-grams count; longer words go on in parts.
 WORD_CHARS = 64
 #: Features that fewer texts of the sample hold are not trained.
@@ -134,60 +136,85 @@ def train(texts: list[str | None], labels: list[int], steps: int = STEPS, base_r
         p = min(max(rate, 1e-4), 1 - 1e-4)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))))
     number: dict[str, int] = {}
-    docs = []
+    bags = []
     for text in texts:
-        bag: dict[int, int] = {}
-        for w in words_of(text):
-            i = number.setdefault(w, len(number))
-            bag[i] = bag.get(i, 0) + 1
-        docs.append(bag)
-    buckets, counts = features(list(number))
-    owner = np.repeat(np.arange(len(number)), counts)
-    held = np.zeros(len(number))
-    for bag in docs:
-        held[list(bag)] += 1
-    common = np.bincount(buckets, weights=held[owner], minlength=BUCKETS) >= MIN_TEXTS
+        ids = np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int32)
+        bags.append(np.unique(ids, return_counts=True))
+    sizes = [len(ids) for ids, _ in bags]
+    doc_of = np.repeat(np.arange(len(bags), dtype=np.int32), sizes)
+    word_of = np.concatenate([ids for ids, _ in bags])
+    times = np.concatenate([n for _, n in bags]).astype(np.float32)
+    held = np.bincount(word_of, minlength=len(number))
+
+    # Two passes over the words, some at a time: count the features' texts, then keep the common ones.
+    words = list(number)
+    del number, bags
+    parts = [(i, words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+    texts_with = np.zeros(BUCKETS)
+    counts = np.zeros(len(words), np.int32)
+    for i, part in parts:
+        found, n = features(part)
+        counts[i : i + len(part)] = n
+        texts_with += np.bincount(found, weights=np.repeat(held[i : i + len(part)], n), minlength=BUCKETS)
     # rare features stay at zero: they count in the mean's length only
-    owner, buckets = owner[common[buckets]], buckets[common[buckets]]
-    known, buckets = np.unique(buckets, return_inverse=True)
+    known = np.flatnonzero(texts_with >= MIN_TEXTS)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[known] = np.arange(len(known), dtype=np.int32)
+    buckets, owner = [], []
+    for i, part in parts:
+        found, n = features(part)
+        found, own = place[found], np.repeat(np.arange(i, i + len(part), dtype=np.int32), n)
+        buckets.append(found[found >= 0])
+        owner.append(own[found >= 0])
+    buckets, owner = np.concatenate(buckets), np.concatenate(owner)
+    del parts, words
     shown = np.unique(owner)
     starts = np.searchsorted(owner, shown)
-    by_bucket = np.argsort(buckets, kind="stable")
+    by_bucket = np.argsort(buckets, kind="stable").astype(np.int32)
     owner_by_bucket = owner[by_bucket]
     bucket_starts = np.searchsorted(buckets[by_bucket], np.arange(len(known)))
+    del by_bucket
 
-    doc_of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    word_of = np.array([i for d in docs for i in d], np.int64)
-    times = np.array([c for d in docs for c in d.values()], np.float32)
-    total = np.bincount(doc_of, weights=times * counts[word_of], minlength=len(docs)).astype(np.float32)
+    total = np.bincount(doc_of, weights=times * counts[word_of], minlength=len(texts)).astype(np.float32)
     share = times / total[doc_of]
-    by_word = np.argsort(word_of, kind="stable")
+    filled = np.flatnonzero(total > 0)
+    cuts = np.searchsorted(doc_of, filled)
+    by_word = np.argsort(word_of, kind="stable").astype(np.int32)
     seen, word_starts = np.unique(word_of[by_word], return_index=True)
+    doc_by_word, share_by_word = doc_of[by_word], share[by_word]
+    del by_word, times
 
     rng = np.random.default_rng(SEED)
-    embedding = rng.uniform(-0.05, 0.05, (len(known), DIMENSIONS)).astype(np.float32)
+    embedding = rng.uniform(-0.05, 0.05, (DIMENSIONS, len(known))).astype(np.float32)
     output = rng.uniform(-1, 1, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    fit = np.arange(len(docs)) % 5 != 0
+    fit = np.arange(len(texts)) % 5 != 0
     weight = np.where(labels_ == 1, 0.5 / max(1, (labels_[fit] == 1).sum()), 0.5 / max(1, (labels_[fit] == 0).sum())).astype(np.float32)
     weight[~fit] = 0
-    filled = np.flatnonzero(total > 0)
-    vectors = np.zeros((len(number), DIMENSIONS), np.float32)
+    vector = np.zeros(len(counts), np.float32)
+
+    def mean(line: np.ndarray) -> np.ndarray:
+        """Mean of one dimension over each text's features."""
+        vector[shown] = np.add.reduceat(line[buckets], starts)
+        out = np.zeros(len(texts), np.float32)
+        out[filled] = np.add.reduceat(share * vector[word_of], cuts)
+        return out
+
+    def slope_of(back: np.ndarray) -> np.ndarray:
+        """Gradient of one dimension's embeddings from the gradient of its means."""
+        per_word = np.zeros(len(counts), np.float32)
+        per_word[seen] = np.add.reduceat(share_by_word * back[doc_by_word], word_starts)
+        return np.add.reduceat(per_word[owner_by_bucket], bucket_starts)
+
     descent = _Descent(embedding, output, bias)
-    for _ in range(steps):
-        vectors[shown] = np.add.reduceat(embedding[buckets], starts, axis=0)
-        means = np.zeros((len(docs), DIMENSIONS), np.float32)
-        cuts = np.searchsorted(doc_of, filled)
-        means[filled] = np.add.reduceat(share[:, None] * vectors[word_of], cuts, axis=0)
+    for _ in range(steps if len(known) else 0):
+        means = np.stack([mean(line) for line in embedding], axis=1)
         slope = _softmax_step(means @ output * SCALE + bias, labels_, weight)
         back = slope @ output.T * SCALE
-        per_word = np.zeros((len(number), DIMENSIONS), np.float32)
-        per_word[seen] = np.add.reduceat((share[:, None] * back[doc_of])[by_word], word_starts, axis=0)
-        gradient = np.add.reduceat(per_word[owner_by_bucket], bucket_starts, axis=0)
+        gradient = np.stack([slope_of(b) for b in back.T.copy()])
         descent.update((RATE, 0.1, 0.1), gradient, means.T @ slope * SCALE, slope.sum(axis=0))
-    line = (embedding @ (output[:, 1] - output[:, 0])) * SCALE
-    per_word = np.bincount(owner, weights=line[buckets], minlength=len(number))
-    per_text = np.bincount(doc_of, weights=share * per_word[word_of], minlength=len(docs))
+    line = (output[:, 1] - output[:, 0]) @ embedding * SCALE
+    per_text = mean(line) if len(known) else np.zeros(len(texts), np.float32)
     odds = per_text + float(bias[1] - bias[0])
     scale, shift = calibrate(odds[~fit], labels_[~fit])
     shift += np.log(rate / (1 - rate)) - np.log(positive / (1 - positive))
@@ -242,17 +269,24 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Trains on a sample of labelled rows that are not held out: ``per_class`` of each class at most.
 
-    The sample is the rows whose ids have the smallest hashes. Labels other than
-    0 and 1 and NULL ids are left out. The base rate is counted over all usable labels.
+    The sample is the labels whose ids have the smallest hashes, each with one
+    document. Labels other than 0 and 1 and NULL ids are left out. The base rate is counted over all usable labels.
     """
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    known = docs.select("doc_id", "text").join(usable, "doc_id")
     counts = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = [
-        known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", "text")).limit(per_class).select("text", "toxic").collect()
-        for label in sorted(counts)
+    ids = [
+        r for label in sorted(counts)
+        for r in usable.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
     ]
-    rows = [r for part in zip_longest(*sample) for r in part if r is not None]
+    # at most 2 * per_class rows, whatever the tables' size
+    sample = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in ids], "doc_id long, toxic int").distinct()
+    known = (
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+        .groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
+        .select("toxic", "one.text", F.xxhash64("doc_id").alias("turn")).orderBy("turn", "toxic").collect()
+    )
+    by_label = [[r for r in known if r.toxic == label] for label in sorted(counts)]
+    rows = [r for part in zip_longest(*by_label) for r in part if r is not None]
     total = sum(counts.values())
     rate = counts.get(1, 0) / total if total else 0.0
     return train([r.text for r in rows], [r.toxic for r in rows], base_rate=min(max(rate, 1e-3), 1 - 1e-3))

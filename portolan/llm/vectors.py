@@ -67,7 +67,7 @@ def _codes(bits: int, tables: int):
     return rows
 
 
-def _roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def connected(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest position each position is connected with."""
     root = np.arange(size)
     while True:
@@ -101,7 +101,7 @@ def _compare(threshold: float):
                 a, b = np.nonzero(np.triu(near, 1))
                 if not len(a):
                     continue
-                root = _roots(e - s, a, b)
+                root = connected(e - s, a, b)
                 earlier = (codes[s:e][a, : table[s]] == codes[s:e][b, : table[s]]).any(axis=1)
                 a, b = a[~earlier], b[~earlier]
                 links = np.bincount(a, weights=n[s + b], minlength=e - s) + np.bincount(b, weights=n[s + a], minlength=e - s)
