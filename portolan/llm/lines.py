@@ -31,7 +31,6 @@ CHARS_PER_EDIT = 20
 BLOCK = 512
 #: Characters of line pairs that are verified together.
 PAIR_CHARS = 2_000_000
-SPACE = " \t\x0b\x0c\r"
 
 
 def tau_of(length: int, tau: int = TAU, per_edit: int = CHARS_PER_EDIT) -> int:
@@ -197,7 +196,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
             doc_id.alias("doc_id"), doc_id.isNull().cast("int").alias("no_id"), F.coalesce(doc_id, F.lit(LAST)).alias("d"),
             F.xxhash64(text).alias("content"), F.posexplode(F.split(text, "\n")).alias("at", "line"),
         )
-        .filter(F.length(F.translate("line", SPACE, "")) > 0)
+        .filter(F.col("line").rlike("[^ \\t-\\r]"))
         .withColumn("g", F.xxhash64("line"))
     )
 
@@ -213,7 +212,7 @@ def line_links(docs: DataFrame, tau: int = TAU, per_edit: int = CHARS_PER_EDIT,
     )
     met = stored(met)
     sizes = met.groupBy("key").agg(F.countDistinct("g").alias("n"))
-    texts = lines.select("g", "line").join(met.select("g").distinct(), "g").groupBy("g").agg(F.first("line").alias("line"))
+    texts = lines.select("g", "line").join(met.select("g").distinct().hint("merge"), "g").groupBy("g").agg(F.first("line").alias("line"))
     blocks = met.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("side", F.pmod(F.hash("g"), "blocks"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("side", "other"), F.greatest("side", "other")

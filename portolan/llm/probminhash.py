@@ -185,7 +185,7 @@ def _verified(threshold: float, size: int) -> Callable:
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """Rows with ``v``, a hash of the text (NULL if it has no word), and the order of the id."""
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    worded = F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) > 0
+    worded = text.rlike("[^ \\t-\\r]")
     return docs.select(
         doc_id.alias("doc_id"), text.alias("text"), F.when(worded, F.xxhash64(text)).alias("v"),
         F.coalesce(doc_id, F.lit(LAST)).alias("d"), doc_id.isNull().cast("int").alias("no_id"), *more,
@@ -202,7 +202,7 @@ def _winners(source: DataFrame, threshold: float, bands: int, rows: int, size: i
     candidates = stored(components(star.select("a", F.col("v").alias("b"))).select(F.col("node").alias("v"), F.col("component").alias("group")))
     sizes = candidates.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     member = candidates.join(sizes, "group").withColumn("side", F.pmod(F.hash("v"), "blocks"))
-    texts = worded.select("v", "text").join(member, "v").groupBy("v", "group", "blocks", "side").agg(F.first("text").alias("text"))
+    texts = worded.select("v", "text").join(member.hint("merge"), "v").groupBy("v", "group", "blocks", "side").agg(F.first("text").alias("text"))
     spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("side", "other"), F.greatest("side", "other")
     files = spread.select(F.concat_ws("/", "group", low, high).alias("file"), "v", "side", low.alias("low"), high.alias("high"), "text")
