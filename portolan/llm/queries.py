@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from portolan.llm import bpe, lines, mixing, probminhash, quality, subtrees, suffixes, toxicity, vectors
+from portolan.llm import bpe, licences, lines, mixing, probminhash, quality, subtrees, suffixes, toxicity, vectors
 from portolan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_documents(table(spark, sf_dir, "documents"))
 
@@ -106,7 +110,10 @@ FROM split LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 
 def queries() -> dict[str, Query]:
     """Name to callable (spark, sf_dir) -> DataFrame."""
-    found = (op1_toxicity, op2_line_dedup, op3_embedding_near_dedup, op4_mix_sources, op6_minhash_near_dedup, op7_byte_bpe, op8_quality_rules, op9_suffix_array_dedup, op10_substring_dedup)
+    found = (
+        op1_toxicity, op2_line_dedup, op3_embedding_near_dedup, op4_mix_sources, op5_license_scan, op6_minhash_near_dedup,
+        op7_byte_bpe, op8_quality_rules, op9_suffix_array_dedup, op10_substring_dedup,
+    )
     return {f.__name__: f for f in found}
 
 
