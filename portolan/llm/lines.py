@@ -79,40 +79,43 @@ def within(short: list[str], long: list[str], tau: np.ndarray) -> np.ndarray:
     """
     n, top = len(short), int(tau.max()) if len(tau) else 0
     width = max(map(len, long), default=0)
-    chars = np.zeros((n, width + 2 * top + 1), np.int32)
+    chars = np.full((n, width + 2 * top + 1), -2, np.int32)
     other = np.full((n, width + 1), -1, np.int32)
     for k, (a, b) in enumerate(zip(short, long)):
         chars[k, top : top + len(a)] = np.frombuffer(a.encode("utf-32-le"), np.int32)
-        chars[k, top + len(a) :] = -2
-        chars[k, :top] = -2
         other[k, : len(b)] = np.frombuffer(b.encode("utf-32-le"), np.int32)
-    band = (1 << (2 * top + 1)) - 1
-    state = np.zeros((top + 1, n), np.int64)
+    chars, other = chars.T.copy(), other.T.copy()  # a column of all pairs lies together
+    kind = np.uint8 if 2 * top + 1 <= 8 else np.int64
+    band = kind((1 << (2 * top + 1)) - 1)
+    bits = [kind(1 << d) for d in range(2 * top + 1)]
+    one = kind(1)
+    state = np.zeros((top + 1, n), kind)
     for e in range(top + 1):
         state[e] = sum(1 << (top + d) for d in range(e + 1))
-    sizes = np.array([len(b) for b in long])
-    apart = np.array([len(a) - len(b) for a, b in zip(short, long)])
+    sizes = np.array([len(b) for b in long], np.int64)
+    apart = np.array([len(a) - len(b) for a, b in zip(short, long)], np.int64)
+    ends = set(sizes.tolist())
     out = np.zeros(n, bool)
     live = np.arange(n)
     for j in range(width + 1):
-        done = sizes[live] == j
-        if done.any():
-            ended = live[done]
-            final = state[tau[ended], np.flatnonzero(done)]
+        if j in ends:
+            at = np.flatnonzero(sizes[live] == j)
+            ended = live[at]
+            final = state[tau[ended], at].astype(np.int64)
             out[ended] = (final >> (top + apart[ended])) & 1 == 1
-        if done.any() or j % 16 == 15:
-            keep = ~done & (state[top] != 0)
-            live, state = live[keep], state[:, keep]
-            if not len(live):
-                break
-        column = other[live, j]
-        match = np.zeros(len(live), np.int64)
-        for d in range(2 * top + 1):
-            match |= (chars[live, j + d] == column).astype(np.int64) << d
+        if j % 16 == 15:
+            keep = (sizes[live] > j) & (state[top] != 0)
+            if keep.sum() < 0.75 * len(live):
+                live, state, chars, other = live[keep], state[:, keep], chars[:, keep], other[:, keep]
+                if not len(live):
+                    break
+        match = np.zeros(len(live), kind)
+        for d, bit in enumerate(bits):
+            match |= (chars[j + d] == other[j]) * bit
         new = np.empty_like(state)
         new[0] = state[0] & match
         for e in range(1, top + 1):
-            new[e] = ((state[e] & match) | state[e - 1] | (state[e - 1] >> 1) | (new[e - 1] << 1)) & band
+            new[e] = ((state[e] & match) | state[e - 1] | (state[e - 1] >> one) | (new[e - 1] << one)) & band
         state = new
     return out
 
@@ -133,59 +136,68 @@ def _files(tau: int, per_edit: int) -> Column:
 
 
 def _verify(tau: int, per_edit: int):
+    """Links of whole files: (line, its links counted here, the smallest line it is connected with here)."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in groups(batches, "file", rows=2_000):
-            col = {c: part.column(c).to_pylist() for c in ("file", "g", "i", "shift", "filed", "side", "low", "high", "line")}
-            files = col["file"]
-            cuts = [0, *(x for x in range(1, len(files)) if files[x] != files[x - 1]), len(files)]
-            for s, e in zip(cuts, cuts[1:]):
-                yield from _file({c: v[s:e] for c, v in col.items()}, tau, per_edit)
+        for part in groups(batches, "file", rows=4_000):
+            ids, place = np.unique(part.column("g").to_numpy(), return_inverse=True)
+            firsts = np.zeros(len(ids), np.int64)
+            firsts[place[::-1]] = np.arange(len(place))[::-1]
+            text = part.column("line").take(pa.array(firsts)).to_pylist()
+            a, b = _linked(part, place.tolist(), text, tau, per_edit)
+            if len(a):
+                links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+                root = connected(len(ids), a, b)
+                used = np.flatnonzero(links > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[used]), pa.array(links[used]), pa.array(ids[root[used]])], ["g", "links", "root"])
 
     return run
 
 
-def _file(col: dict, tau: int, per_edit: int) -> Iterator[pa.RecordBatch]:
-    """Links of one file: (line, its links counted here, the smallest line it is connected with here)."""
-    names = sorted(set(col["g"]))
-    number = {g: x for x, g in enumerate(names)}
-    text = dict(zip(col["g"], col["line"]))
-    pairs, held = [], 0
-    links = np.zeros(len(names), np.int64)
-    a, b = [], []
-
-    def settle() -> None:
-        nonlocal pairs, held
-        good = within([p[0] for p in pairs], [p[1] for p in pairs], np.array([tau_of(len(p[0]), tau, per_edit) for p in pairs]))
-        for (short, long, x, y, meeting), near in zip(pairs, good):
-            if near:
-                a.append(x)
-                b.append(y)
-                if first_meeting(short, long, tau_of(len(short), tau, per_edit)) == meeting:
-                    links[x] += 1
-                    links[y] += 1
-        pairs, held = [], 0
-
-    rows = list(zip(col["g"], col["i"], col["shift"], col["filed"], col["side"]))
-    filed = sorted({(g, side) for g, _, _, f, side in rows if f})
-    asking = sorted({(g, i, shift, side) for g, i, shift, _, side in rows})
-    across = col["low"][0] != col["high"][0]
-    for g, side in filed:
-        short = text[g]
-        for h, i, shift, other in asking:
-            long = text[h]
-            if g == h or len(long) < len(short) or (len(long) == len(short) and g > h) or (across and side == other):
-                continue
-            pairs.append((short, long, number[g], number[h], (i, shift)))
-            held += len(short) + len(long)
-            if held >= PAIR_CHARS:
-                settle()
-    if pairs:
-        settle()
-    if a:
-        root = connected(len(names), np.array(a), np.array(b))
-        used = np.flatnonzero((links > 0) | (root != np.arange(len(names))))
-        ids = np.array(names, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[used]), pa.array(links[used]), pa.array(ids[root[used]])], ["g", "links", "root"])
+def _linked(part: pa.Table, place: list[int], text: list[str], tau: int, per_edit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in ``text`` of the pairs within their distance whose first meeting is in a file of this part."""
+    counts = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) & 63, minlength=64) for t in text]).astype(np.int32)
+    sizes = [len(t) for t in text]
+    files = part.column("file").to_pylist()
+    i, shift, filed, side, low, high = (part.column(c).to_pylist() for c in ("i", "shift", "filed", "side", "low", "high"))
+    cuts = [0, *(x for x in range(1, len(files)) if files[x] != files[x - 1]), len(files)]
+    found: tuple[list, list] = ([], [])
+
+    def settle(x: list, y: list, meeting: list) -> None:
+        """Checks pairs by their letters, by their first meeting and then by their distance."""
+        allowed = np.array([tau_of(sizes[k], tau, per_edit) for k in x])
+        near = np.flatnonzero(np.abs(counts[x] - counts[y]).sum(axis=1) <= 2 * allowed)
+        near = [k for k in near.tolist() if first_meeting(text[x[k]], text[y[k]], int(allowed[k])) == meeting[k]]
+        start = held = 0
+        for n, k in enumerate(near):
+            held += sizes[y[k]]
+            if held >= PAIR_CHARS or n + 1 == len(near):
+                own = near[start : n + 1]
+                good = within([text[x[k]] for k in own], [text[y[k]] for k in own], allowed[own])
+                for k, yes in zip(own, good.tolist()):
+                    if yes:
+                        found[0].append(x[k])
+                        found[1].append(y[k])
+                start, held = n + 1, 0
+
+    x, y, meeting = [], [], []
+    for s, e in zip(cuts, cuts[1:]):
+        across = low[s] != high[s]
+        asking = {(place[r], i[r], shift[r], side[r]) for r in range(s, e)}
+        for own, where in {(place[r], side[r]) for r in range(s, e) if filed[r]}:
+            size, most = sizes[own], sizes[own] + tau_of(sizes[own], tau, per_edit)
+            for other, k, moved, there in asking:
+                # of equally long lines the one with the smaller hash is the filed one
+                if size <= sizes[other] <= most and (sizes[other] > size or own < other) and not (across and where == there):
+                    x.append(own)
+                    y.append(other)
+                    meeting.append((k, moved))
+            if len(x) >= 50_000:
+                settle(x, y, meeting)
+                x, y, meeting = [], [], []
+    if x:
+        settle(x, y, meeting)
+    return np.array(found[0], np.int64), np.array(found[1], np.int64)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
