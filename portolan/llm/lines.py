@@ -29,7 +29,7 @@ TAU = 2
 CHARS_PER_EDIT = 20
 #: Lines in one block of a large file.
 BLOCK = 512
-#: Characters of line pairs that are verified together.
+#: Cells of the matrix of line pairs that are verified together, unless it is one pair.
 PAIR_CHARS = 2_000_000
 
 
@@ -168,10 +168,10 @@ def _linked(part: pa.Table, place: list[int], text: list[str], tau: int, per_edi
         allowed = np.array([tau_of(sizes[k], tau, per_edit) for k in x])
         near = np.flatnonzero(np.abs(counts[x] - counts[y]).sum(axis=1) <= 2 * allowed)
         near = [k for k in near.tolist() if first_meeting(text[x[k]], text[y[k]], int(allowed[k])) == meeting[k]]
-        start = held = 0
+        near.sort(key=lambda k: sizes[y[k]])  # a matrix is as wide as its longest line
+        start = 0
         for n, k in enumerate(near):
-            held += sizes[y[k]]
-            if held >= PAIR_CHARS or n + 1 == len(near):
+            if n + 1 == len(near) or (n + 2 - start) * sizes[y[near[n + 1]]] > PAIR_CHARS:
                 own = near[start : n + 1]
                 good = within([text[x[k]] for k in own], [text[y[k]] for k in own], allowed[own])
                 for k, yes in zip(own, good.tolist()):
