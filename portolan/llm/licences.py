@@ -92,16 +92,19 @@ class Classifier:
         self.spark, self.notices, self.weights, self.intercepts, self.classes, self.cut = spark, notices, weights, intercepts, classes, cut
 
     def predicted(self, rows: DataFrame, *key: str) -> DataFrame:
-        """(key, family, probability) of rows (key, words) with any known n-gram; all others are unknown."""
+        """(key, family, probability, known) of rows (key, words) with known n-grams, which ``known`` holds; all others are unknown."""
         columns = [f"w{i}" for i in range(len(self.classes))]
-        found = rows.select(*key, F.explode(grams(F.col("words"))).alias("gram")).join(F.broadcast(self.weights), "gram")
-        sums = found.groupBy(*key).agg(*[(F.sum(c) + F.lit(b)).alias(c) for c, b in zip(columns, self.intercepts)])
+        known = rows.select(*key, F.explode(grams(F.col("words"))).alias("gram")).join(F.broadcast(self.weights.select("gram")), "gram", "left_semi")
+        found = known.distinct().join(F.broadcast(self.weights), "gram")  # copies of a text count once
+        sums = found.groupBy(*key).agg(
+            F.collect_set("gram").alias("known"), *[(F.sum(c) + F.lit(b)).alias(c) for c, b in zip(columns, self.intercepts)]
+        )
         top = F.greatest(*columns)
         total = reduce(lambda a, b: a + b, [F.exp(F.col(c) - top) for c in columns])
         families = [c for c, name in zip(columns, self.classes) if name != UNKNOWN]
         best = F.greatest(*families)
         name = F.coalesce(*[F.when(F.col(c) == best, F.lit(self.classes[int(c[1:])])) for c in families])
-        scored = sums.select(*key, name.alias("family"), (F.exp(best - top) / total).alias("probability"))
+        scored = sums.select(*key, name.alias("family"), (F.exp(best - top) / total).alias("probability"), "known")
         return scored.withColumn("family", F.when(F.col("probability") >= self.cut, F.col("family")).otherwise(UNKNOWN))
 
 
@@ -117,8 +120,11 @@ def train(docs: DataFrame, background: int = BACKGROUND) -> Classifier:
     known = notices.select("family", F.explode(F.concat(F.array("words"), *windows)).alias("words")).distinct()
     known = known.select("family", grams(F.col("words"), _text).alias("grams"))
     triples = notices.select(F.explode(_grams(F.col("words"), 3, _text)).alias("gram")).distinct()
+    # hashes first: the distinct paragraphs themselves are too much to move, the sample is small
+    lines = paragraphs(docs).select("words", F.xxhash64("words").alias("turn"))
+    turns = lines.select("turn").distinct().orderBy("turn").limit(background)
     sample = (
-        paragraphs(docs).select("words", F.xxhash64("words").alias("turn")).distinct().orderBy("turn").limit(background)
+        lines.join(F.broadcast(turns), "turn").groupBy("turn").agg(F.first("words").alias("words"))
         .select(F.lit(UNKNOWN).alias("family"), grams(F.col("words"), _text).alias("grams"), "turn")
     )
     # a sampled paragraph that shares a triple with a notice may be one
@@ -164,11 +170,13 @@ def scan(docs: DataFrame, background: int = BACKGROUND) -> DataFrame:
     docs = docs.select("doc_id", "text")
     classifier = train(docs, background)
     rows = paragraphs(docs)
-    # the words go along as pairs' hashes, and only for the paragraphs with a known n-gram
-    named = classifier.predicted(rows, "content", "at", "words").filter(F.col("family") != UNKNOWN)
-    pairs = classifier.notices.select("family", F.array_distinct(_grams(F.col("words"), 2, F.xxhash64)).alias("pairs"))
-    own = F.array_distinct(_grams(F.col("words"), 2, F.xxhash64))
-    share = F.size(F.array_intersect(own, F.col("pairs"))) / F.size("pairs")
+    named = classifier.predicted(rows, "content", "at").filter(F.col("family") != UNKNOWN)
+    # a notice by those of its word pairs that are features
+    pairs = (
+        classifier.notices.select("family", "notice", F.explode(_grams(F.col("words"), 2, F.xxhash64)).alias("gram")).distinct()
+        .join(F.broadcast(classifier.weights.select("gram")), "gram", "left_semi").groupBy("family", "notice").agg(F.collect_set("gram").alias("pairs"))
+    )
+    share = F.size(F.array_intersect("known", "pairs")) / F.size("pairs")
     confirmed = (
         named.join(F.broadcast(pairs), "family").withColumn("share", share).groupBy("content", "at", "family", "probability")
         .agg(F.max("share").alias("share")).filter(F.col("share") >= COVERAGE)

@@ -42,6 +42,13 @@ def test_odd_rows(documents):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_copies_do_not_change_the_probability(documents):
+    prose = [(i, " ".join(f"p{i}x{k}" for k in range(30))) for i in range(40)]
+    notice = (100, "Released under the MIT License.")
+    once, often = (licences.scan(documents(prose + [notice] * n)).filter("n_licence > 0").collect() for n in (1, 5))
+    assert len(once) == 1 and len(often) == 5 and {r.probability for r in often} == {once[0].probability}
+
+
 def test_plan_has_no_python(spark, sf_dir):
     plan = licences.scan(table(spark, sf_dir, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
