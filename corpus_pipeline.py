@@ -6,13 +6,18 @@ columns of documents.
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from portolan.llm import bpe, lines, mixing, probminhash, quality
 from portolan.llm.common import stored, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Names that Spark gives to the files of a table: the partition and the file in it.
+PART = r"part-(\d+)-.*[.-]c(\d+)\."
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +40,29 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_order_exact(docs)
 
 
+def _written(docs: DataFrame) -> DataFrame:
+    """``docs`` as a table in files that Spark wrote, whose names and rows hold the order."""
+    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    files = docs.inputFiles() if plain else []
+    return docs if files and all(re.search(PART, f.rsplit("/", 1)[-1]) for f in files) else stored(docs)
+
+
+def _place() -> Column:
+    """Place of a row in the order in which its table was written; unlike the order of a scan it does not change."""
+    name = F.col("_metadata.file_name")
+    part, file = (F.regexp_extract(name, PART, i).cast("long") for i in (1, 2))
+    return F.shiftleft(part, 44) + F.shiftleft(file, 34) + F.col("_metadata.row_index")
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and hashes of the ids and of the decoded bytes of each document."""
+    """Token counts and hashes of the ids and of the decoded bytes of each document, in the order of ``docs``."""
     ranks = bpe.load_ranks(public_tokenizers.path(VOCABULARY))
-    return bpe.digest(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+    docs = _written(docs)
+    # the encoder returns rows in no order; under their places they find their ids and their order again
+    texts = docs.select(_place().alias("doc_id"), "text")
+    ids = docs.select(_place().alias("place"), "doc_id")
+    found = bpe.digest(bpe.decode(bpe.encode(texts, ranks, public_tokenizers.PATTERN), ranks)).withColumnRenamed("doc_id", "place")
+    return ids.join(found, "place").orderBy("place").select("doc_id", *[c for c in found.columns if c != "place"])
 
 
 STAGES = [
@@ -54,7 +78,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written to the shared folder and read again by the next."""
+    """All stages over the documents table, each written to the shared folder and read again by the next.
+
+    The rows come in the mixed order; no later stage loses it.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

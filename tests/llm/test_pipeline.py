@@ -53,3 +53,23 @@ def test_the_mix_is_the_order_of_the_rows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     placed = sorted(mixing.mix(docs).collect(), key=lambda r: (r.slot, r.offset))
     assert [r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, sf_dir).collect()] == [r.doc_id for r in placed]
+
+
+def test_run_returns_its_rows_in_the_order_of_stage_4(spark, sf_dir, monkeypatch):
+    placed = sorted(mixing.mix_exact(table(spark, sf_dir, "documents")).collect(), key=lambda r: (r.slot, r.offset))
+    want = [r.doc_id for r in placed]
+    stages = corpus_pipeline.STAGES  # the first three do not order rows and are left out here
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages[3:])
+    assert [r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()] == want != sorted(want)
+    # another decision of the stage gives another order
+    by_id = ("by id", lambda spark, docs, sf_dir: docs.orderBy("doc_id"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [by_id, stages[4]])
+    assert [r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()] == sorted(want)
+
+
+def test_the_last_stage_keeps_the_order_and_every_row(spark, documents):
+    rows = [(i * 37 % 101, f"text {i}") for i in range(101)] + [(None, "a"), (None, None), (5, "x"), (5, "x")]
+    docs = documents(rows).repartition(7).orderBy("text", "doc_id")
+    want = [r.doc_id for r in docs.collect()]
+    out = corpus_pipeline.byte_bpe(spark, docs, "")
+    assert [r.doc_id for r in out.collect()] == want and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
