@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from portolan.llm import bpe, licences, lines, mixing, probminhash, quality, subtrees, suffixes, toxicity, vectors
+from portolan.llm import (
+    bpe, infill, licences, lines, mixing, packing, probminhash, quality, subtrees, suffixes, toxicity, vectors, whitening,
+)
 from portolan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +58,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtrees.digest(subtrees.dedup_substrings(table(spark, sf_dir, "documents")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op13_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 SPACES = "'[\\x20\\x09-\\x0D]+'"
 
 OP8_SQL = f"""
@@ -108,15 +122,40 @@ FROM split LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
 """
 
 
+MARKED = " OR ".join(f"contains(text, '{m}')" for m in infill.Markers())
+
+OP11_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('{infill.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+  SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u,
+         list_transform(range(0, 4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS d
+  FROM docs),
+cut AS (
+  SELECT doc_id, text, u, len(u) AS n, least(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS a, greatest(d[1] % (len(u) + 1), d[2] % (len(u) + 1)) AS b,
+         CASE WHEN text = '' OR {MARKED} OR d[3] % 100 >= {infill.RATE} THEN 'plain'
+              WHEN d[4] % 100 < {infill.SPM_SHARE} THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, array_to_string(u[1 : a], '') AS p, array_to_string(u[a + 1 : b], '') AS m, array_to_string(u[b + 1 :], '') AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 def queries() -> dict[str, Query]:
     """Name to callable (spark, sf_dir) -> DataFrame."""
     found = (
         op1_toxicity, op2_line_dedup, op3_embedding_near_dedup, op4_mix_sources, op5_license_scan, op6_minhash_near_dedup,
-        op7_byte_bpe, op8_quality_rules, op9_suffix_array_dedup, op10_substring_dedup,
+        op7_byte_bpe, op8_quality_rules, op9_suffix_array_dedup, op10_substring_dedup, op11_fill_in_middle, op12_pack_sequences,
+        op13_whiten_embeddings,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express over whole tables."""
-    return {"op8_quality_rules": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op8_quality_rules": OP8_SQL, "op10_substring_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
