@@ -41,6 +41,10 @@ KNOWN_WORDS = 500_000
 #: Places where no pre-token goes on: a space or line end behind anything that is not white space.
 BREAK = re.compile(r"\S(?=[ \n])")
 
+# Bytes that stand for themselves in a byte-level vocabulary; the others follow U+00FF in order.
+PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+ALPHABET = dict(zip((b for b in range(256) if b not in PLAIN), range(256, 512)))
+
 
 def spans(text: str) -> Iterator[str]:
     """The text in spans of about ``SPAN_CHARS`` that have the same pre-tokens as the whole."""
@@ -65,7 +69,7 @@ def _tokenizer(spec: str):
 
 
 class Encoder:
-    """Ids of texts; the tokenizer sees each distinct pre-token once and its ids are put together by position.
+    """Ids of texts; the tokenizer's model sees each distinct pre-token once and its ids are put together by position.
 
     Pre-tokens are encoded independently, so this equals encoding whole texts.
     Characters that this Python does not know may belong to a class of pre-tokens
@@ -83,13 +87,16 @@ class Encoder:
     def _learn(self) -> None:
         """Ids of the words that have come up since the last call."""
         words = list(self.number)[len(self.sizes) :]
-        for a in range(0, len(words), 20_000):
-            some = words[a : a + 20_000]
-            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            self.ids = np.concatenate([self.ids, np.array(found.ids, np.int32)])
-            self.sizes = np.concatenate([self.sizes, np.bincount(np.array(found.word_ids, np.int64), minlength=len(some))])
-            strange = [not w.isascii() and any(unicodedata.category(c) == "Cn" for c in w) for w in some]
-            self.strange = np.concatenate([self.strange, np.array(strange, bool)])
+        model, ids, sizes = self.tokenizer.model, [], []
+        for word in words:
+            found = model.tokenize(word.encode().decode("latin-1").translate(ALPHABET))
+            ids += [token.id for token in found]
+            sizes.append(len(found))
+        unknown = {c for c in set("".join(words)) if unicodedata.category(c) == "Cn"}
+        strange = [not unknown.isdisjoint(w) for w in words] if unknown else [False] * len(words)
+        self.ids = np.concatenate([self.ids, np.array(ids, np.int32)])
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
+        self.strange = np.concatenate([self.strange, np.array(strange, bool)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > KNOWN_WORDS:
