@@ -131,7 +131,13 @@ def decompose(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(document, counts), np.repeat(sizes, counts)
 
 
-PIECE = "doc_id long, start long, doc_tokens long, ids array<int>, length int"
+def crc32(ids: np.ndarray, ends: np.ndarray) -> list[int]:
+    """CRC-32 of each piece, its ids as little-endian unsigned 32-bit numbers."""
+    raw, cuts = memoryview(ids.astype("<u4", copy=False)).cast("B"), (4 * ends).tolist()
+    return [zlib.crc32(raw[a:b]) for a, b in zip([0, *cuts[:-1]], cuts)]
+
+
+PIECE = "doc_id long, start long, doc_tokens long, ids array<int>, crc32 long, length int"
 
 
 def _pieces(spec, pattern: str, most: int, end_id: int):
@@ -142,13 +148,14 @@ def _pieces(spec, pattern: str, most: int, end_id: int):
         document, sizes = decompose(lengths, most)
         ends = np.cumsum(sizes)
         first = (np.cumsum(lengths) - lengths)[document]
+        ids = np.concatenate([x for c in coded for x in (c, end)])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(doc_ids, pa.int64()).take(pa.array(document)), pa.array(ends - sizes - first), pa.array(lengths[document]),
-                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.concatenate([x for c in coded for x in (c, end)]))),
-                pa.array(sizes.astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids)),
+                pa.array(crc32(ids, ends)), pa.array(sizes.astype(np.int32)),
             ],
-            ["doc_id", "start", "doc_tokens", "ids", "length"],
+            ["doc_id", "start", "doc_tokens", "ids", "crc32", "length"],
         )
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +183,8 @@ def pack(
     ``tokenizer`` is the file of a byte-level BPE whose pre-tokens are the matches
     of ``pattern``. A document is the ids of its text, without special tokens, and
     ``end_id``. Returns one row per piece: doc_id, start (ids of its document in
-    front of it), doc_tokens, ids, sequence_id, offset (always 0: a sequence is
-    one piece) and length. The pieces are written to ``path``, by default a new
+    front of it), doc_tokens, ids, crc32 (checksum of the ids, for readers of the
+    files), sequence_id, offset (always 0: a sequence is one piece) and length. The pieces are written to ``path``, by default a new
     folder in the shared folder, with one folder per length, and read from there:
     a reader of one length gets batches without padding, and sequence ids, which
     are unique but leave gaps, stay the same however often the table is read.
@@ -193,23 +200,15 @@ def pack(
         spec = spark.sparkContext.broadcast(file.read())  # as large as the vocabulary
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = rows.mapInArrow(_pieces(spec, pattern, max_tokens, end_id), PIECE).select(
-        "doc_id", "start", "doc_tokens", "ids", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "length"
+        "doc_id", "start", "doc_tokens", "ids", "crc32", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "length"
     )
     path = path or f"{shared_folder(spark).rstrip('/')}/sequences-{uuid.uuid4().hex}"
     pieces.write.option("compression", "zstd").partitionBy("length").parquet(path)
     return spark.read.schema(pieces.schema).parquet(path)
 
 
-def _crc32(ids: pa.Array) -> pa.Array:
-    """CRC-32 of the ids as little-endian unsigned 32-bit numbers."""
-    raw = memoryview(ids.values.to_numpy().astype("<u4", copy=False)).cast("B")
-    ends = ids.offsets.to_numpy()
-    return pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.int64())
-
-
 def digest(packed: DataFrame) -> DataFrame:
     """Figures of the registered query."""
-    crc = F.arrow_udf(_crc32, "long")
     return packed.select(
-        "doc_id", "start", F.col("length").cast("long").alias("length"), crc("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+        "doc_id", "start", F.col("length").cast("long").alias("length"), F.col("crc32").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

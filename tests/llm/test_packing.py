@@ -59,7 +59,7 @@ def test_odd_texts(documents, monkeypatch, tmp_path, chars, span, words):
     monkeypatch.setattr(packing, "KNOWN_WORDS", words)
     df = documents(ODD, extra=("ids", "length", "start", "sequence_id"))
     packed = packing.pack(df, PATH, path=str(tmp_path / "out"))
-    assert packed.columns == ["doc_id", "start", "doc_tokens", "ids", "sequence_id", "offset", "length"]
+    assert packed.columns == ["doc_id", "start", "doc_tokens", "ids", "crc32", "sequence_id", "offset", "length"]
     check(ODD, packed.collect())
     assert packing.digest(packing.pack(df.limit(0), PATH)).collect() == []
     with pytest.raises(ValueError):
