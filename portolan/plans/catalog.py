@@ -36,6 +36,8 @@ from portolan.sources.readers import TradeData
 FOCAL = 18
 YEARS = (1997, 1998, 1999, 2000)
 CHAPTERS = tuple(range(1, 26))
+# Left out of the dimension by the two queries about codes without a name.
+UNLISTED = 24
 
 Build = Callable[[TradeData, "int | None"], DataFrame]
 
@@ -64,7 +66,7 @@ FLOWS_SQL = """flows AS (
 DIMENSIONS_SQL = """countries AS (
   SELECT n_nationkey AS country_code, n_name AS country_name,
          'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS country_iso3
-  FROM nation WHERE n_nationkey <> 24
+  FROM nation
 ),
 products AS (
   SELECT DISTINCT
@@ -361,6 +363,14 @@ def _doubled_countries(data: TradeData) -> DataFrame:
     return data.countries.unionByName(data.countries.filter(F.col("country_code") % 5 == 0))
 
 
+def _partial_countries(data: TradeData) -> DataFrame:
+    """The country table without one code, as published tables lack some."""
+    return data.countries.filter(F.col("country_code") != UNLISTED)
+
+
+PARTIAL_SQL = f"(SELECT * FROM countries WHERE country_code <> {UNLISTED})"
+
+
 ANALYSES: dict[str, Query] = {
     "trade_direction": Query(
         lambda d, f: totals.trade_direction(d.flows, f),
@@ -605,14 +615,14 @@ PROFILES: dict[str, Query] = {
         both=False,
     ),
     "unmatched_references": Query(
-        lambda d, f: quality.unmatched_references(d.flows, d.countries, d.products),
+        lambda d, f: quality.unmatched_references(d.flows, _partial_countries(d), d.products),
         "role:str records:long unmatched_records:long",
         " UNION ALL ".join(
             f"SELECT '{role}' AS role, count(*) AS records, count(*) FILTER (WHERE {name} IS NULL) AS unmatched_records "
             f"FROM flows LEFT JOIN {table} ON {key}"
             for role, name, table, key in (
-                ("exporter", "country_name", "countries", "i = country_code"),
-                ("importer", "country_name", "countries", "j = country_code"),
+                ("exporter", "country_name", f"{PARTIAL_SQL} e", "i = country_code"),
+                ("importer", "country_name", f"{PARTIAL_SQL} m", "j = country_code"),
                 ("product", "description", "products", "lpad(CAST(k AS VARCHAR), 6, '0') = code"),
             )
         ),
@@ -669,7 +679,7 @@ GROUP BY country_code HAVING count(*) > 1""",
         ),
     ),
     "prepared_flows": Query(
-        lambda d, f: readers.derive(readers.enrich(readers.clean(d.flows), d.countries, d.products))
+        lambda d, f: readers.derive(readers.enrich(readers.clean(d.flows), _partial_countries(d), d.products))
         .groupBy("exporter_name", "hs2")
         .agg(
             F.count("*").alias("records"), F.count("description").alias("described"),
@@ -678,13 +688,13 @@ GROUP BY country_code HAVING count(*) > 1""",
         ),
         "exporter_name:str hs2:int records:long described:long imported:long top_hs4:int v:num4 unit_value:num4 log_value:num "
         "log_quantity:num",
-        """SELECT e.country_name AS exporter_name,
+        f"""SELECT e.country_name AS exporter_name,
   CAST(substr(lpad(CAST(k AS VARCHAR), 6, '0'), 1, 2) AS INTEGER) AS hs2,
   max(CAST(substr(lpad(CAST(k AS VARCHAR), 6, '0'), 1, 4) AS INTEGER)) AS top_hs4,
   count(*) AS records, count(description) AS described, count(m.country_name) AS imported, CAST(sum(v) AS DOUBLE) AS v,
   sum(CASE WHEN q > 0 THEN CAST(v AS DOUBLE) / q END) AS unit_value,
   sum(ln(1 + greatest(CAST(v AS DOUBLE), 0))) AS log_value, sum(ln(1 + greatest(q, 0))) AS log_quantity
-FROM flows LEFT JOIN countries e ON i = e.country_code LEFT JOIN countries m ON j = m.country_code
+FROM flows LEFT JOIN {PARTIAL_SQL} e ON i = e.country_code LEFT JOIN {PARTIAL_SQL} m ON j = m.country_code
 LEFT JOIN products ON lpad(CAST(k AS VARCHAR), 6, '0') = code
 WHERE v IS NOT NULL AND q IS NOT NULL AND v >= 1000
 GROUP BY e.country_name, 2""",

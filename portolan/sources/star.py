@@ -17,10 +17,6 @@ from portolan.sources.readers import TradeData
 TYPE_DIGITS = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5}
 OTHER_TYPE = 6
 
-# The dimension leaves this nation out, so that unnamed partners occur.
-UNNAMED_NATION = 24
-
-
 # Declared columns: no job has to read file footers to find the types.  Keys are
 # read at their widest; the order date is inferred, as files differ in its kind.
 COLUMNS = {
@@ -84,7 +80,6 @@ def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.col("n_nationkey").cast("int")
     return (
         _table(spark, sf_dir, "nation")
-        .filter(code != UNNAMED_NATION)
         .select(
             code.alias("country_code"),
             F.col("n_name").alias("country_name"),

@@ -4,11 +4,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry_module
+from portolan.plans import catalog
 
 duckdb = pytest.importorskip("duckdb")
 
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+QUERIES = catalog.queries()
+SQL = catalog.oracle_sql()
 # The same builders and SQL without the reporter filter run at a larger scale
 # outside the unit tests; these stand for them here.
 WHOLE = {
@@ -48,6 +49,22 @@ def test_entry_runs(spark, sf_dir):
     assert entry_module.entry(spark).count() > 0
 
 
+def test_entry_lists_every_analysis():
+    assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
+
+
+@pytest.mark.parametrize("code", [0, 24])
+def test_partners_of_every_nation_count(spark, sf_dir, code):
+    """Named partners add up to the totals of the reporter; no nation is left out."""
+    totals = {r["reporter"]: r for r in QUERIES["trade_direction_all_reporters"](spark, sf_dir).collect()}
+    rows = [r for r in QUERIES["balance_by_partner_all_reporters"](spark, sf_dir).collect()]
+    assert any(r["partner"] == code for r in rows) and any(r["reporter"] == code for r in rows)
+    for reporter, total in totals.items():
+        own = [r for r in rows if r["reporter"] == reporter]
+        assert math.isclose(sum(r["exports"] for r in own), total["export_value"], rel_tol=1e-9)
+        assert math.isclose(sum(r["imports"] for r in own), total["import_value"], rel_tol=1e-9)
+
+
 def test_every_twin_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
     assert {n for n in QUERIES if n not in SQL} == {
