@@ -28,6 +28,7 @@ from portolan.operators.features import (
     standard_scaled,
     with_feature_array,
 )
+from portolan.operators import cells
 from portolan.operators.tiles import over_tiles
 from portolan.plans.session import settled
 
@@ -146,48 +147,54 @@ def kmeans_sweep(
     return KMeansSweep(ks[best], fits[best], scores)
 
 
-def density_core(
-    points: DataFrame, eps: float = EPS, min_points: int = MIN_POINTS, key: str = "partner", group: str = "reporter"
-) -> DataFrame:
-    """Adds ``neighbours`` (points within ``eps``, itself included) and ``is_core``."""
+def _indexed(points: DataFrame, eps: float, key: str, group: str) -> tuple[DataFrame, cells.Index]:
     points = settled(points)
+    return points, cells.Index(points, eps, key, group)
+
 
-    def count(a, b, distances) -> pd.DataFrame:
-        return pd.DataFrame({"point": a.key, "neighbours": (distances <= eps).sum(axis=1)})
+def _counted(points: DataFrame, index: cells.Index, min_points: int) -> DataFrame:
+    def count(a, b, near) -> cells.Rows:
+        return {"point": a.key.astype("int64"), "neighbours": near.sum(axis=1)}
 
     counts = (
-        over_tiles(points, group, key, [], count, "point bigint, neighbours bigint")
-        .groupBy(group, F.col("point").alias(key))
+        index.meet(points, [], count, "point bigint, neighbours bigint")
+        .groupBy(index.group, F.col("point").alias(index.key))
         .agg(F.sum("neighbours").alias("neighbours"))
     )
-    return points.join(counts, [group, key]).withColumn("is_core", F.col("neighbours") >= min_points)
-
-
-def _core_links(eps: float):
-    def links(a, b, distances) -> pd.DataFrame:
-        """Joins the core points of a tile that hang together to their smallest member.
-
-        This star keeps the connections of the tile in at most one row per point.
-        """
-        core_a = np.asarray(a["is_core"], dtype=bool)
-        core_b = np.asarray(b["is_core"], dtype=bool)
-        near = (distances <= eps) & core_a[:, None] & core_b[None, :]
-        label_a, label_b = a.key.astype("int64"), b.key.astype("int64")
-        none = np.iinfo("int64").max
-        while True:
-            new_b = np.minimum(label_b, np.where(near, label_a[:, None], none).min(axis=0))
-            new_a = np.minimum(label_a, np.where(near, new_b[None, :], none).min(axis=1))
-            if (new_a == label_a).all() and (new_b == label_b).all():
-                break
-            label_a, label_b = new_a, new_b
-        return pd.DataFrame(
-            {
-                "point": np.concatenate([a.key[core_a], b.key[core_b]]),
-                "root": np.concatenate([label_a[core_a], label_b[core_b]]),
-            }
-        )
+    return points.join(counts, [index.group, index.key]).withColumn("is_core", F.col("neighbours") >= min_points)
 
-    return links
+
+def density_core(
+    points: DataFrame, eps: float = EPS, min_points: int = MIN_POINTS, key: str = "partner", group: str = "reporter"
+) -> DataFrame:
+    """Adds ``neighbours`` (points within ``eps``, itself included) and ``is_core``."""
+    return _counted(*_indexed(points, eps, key, group), min_points)
+
+
+def _core_links(a, b, near) -> cells.Rows:
+    """For points of ``a``, a core point that stands for the core points in reach that hang together here.
+
+    A core point gets the smallest member of its part of these two blocks: such
+    stars keep all connections in one row per point. Any other point gets one row
+    for each part in reach; parts are at least a radius apart, so these are few.
+    """
+    core_a, core_b = a["is_core"].astype(bool), b["is_core"].astype(bool)
+    both = near & core_a[:, None] & core_b[None, :]
+    label_a, label_b = a.key.astype("int64"), b.key.astype("int64")
+    none = np.iinfo("int64").max
+    while True:
+        new_b = np.minimum(label_b, np.where(both, label_a[:, None], none).min(axis=0))
+        new_a = np.minimum(label_a, np.where(both, new_b[None, :], none).min(axis=1))
+        if (new_a == label_a).all() and (new_b == label_b).all():
+            break
+        label_a, label_b = new_a, new_b
+    point, part = np.nonzero(near & ~core_a[:, None] & core_b[None, :])
+    border = np.unique(np.stack([a.key.astype("int64")[point], label_b[part]]), axis=1)
+    return {
+        "point": np.concatenate([a.key.astype("int64")[core_a], border[0]]),
+        "root": np.concatenate([label_a[core_a], border[1]]),
+        "is_core": np.repeat([True, False], [int(core_a.sum()), border.shape[1]]),
+    }
 
 
 def _components(links: DataFrame, group: str) -> DataFrame:
@@ -230,36 +237,19 @@ def density_clusters(
     joins the lowest-numbered cluster with a core point in reach.  Clusters are
     numbered by their smallest core key.
     """
-    cored = settled(density_core(points, eps, min_points, key, group))
-    links = over_tiles(cored, group, key, ["is_core"], _core_links(eps), "point bigint, root bigint")
-    components = _components(links, group)
+    points, index = _indexed(points, eps, key, group)
+    cored = settled(_counted(points, index, min_points))
+    links = settled(index.meet(cored, ["is_core"], _core_links, "point bigint, root bigint, is_core boolean").distinct())
+    components = _components(links.filter("is_core"), group)
     numbers = components.select(group, "label").distinct().withColumn(
         "cluster", F.row_number().over(Window.partitionBy(group).orderBy("label")) - 1
     )
-    core = components.join(numbers, [group, "label"]).select(group, F.col("u").alias(key), "cluster")
-    known = settled(
-        cored.join(core, [group, key], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
-    )
-
-    def nearest_cluster(a, b, distances) -> pd.DataFrame:
-        open_a = ~np.asarray(a["is_core"], dtype=bool)
-        core_b = np.asarray(b["is_core"], dtype=bool)
-        clusters = np.asarray(b["cluster"], dtype="int64")
-        none = np.iinfo("int32").max
-        reach = np.where((distances <= eps) & core_b[None, :], clusters[None, :], none).min(axis=1)
-        hit = open_a & (reach < none)
-        return pd.DataFrame({"point": a.key[hit], "border": reach[hit]})
-
-    border = (
-        over_tiles(known, group, key, ["is_core", "cluster"], nearest_cluster, "point bigint, border bigint")
-        .groupBy(group, F.col("point").alias(key))
-        .agg(F.min("border").cast("int").alias("border"))
-    )
-    return (
-        known.join(border, [group, key], "left")
-        .withColumn("cluster", F.when(F.col("is_core"), F.col("cluster")).otherwise(F.coalesce("border", F.lit(-1))))
-        .drop("border")
+    known = components.join(numbers, [group, "label"]).select(group, F.col("u").alias("root"), "cluster")
+    # a core point is the root of a link of its own, so both kinds of points find their cluster by one
+    reached = (
+        links.join(known, [group, "root"]).groupBy(group, F.col("point").alias(key)).agg(F.min("cluster").alias("cluster"))
     )
+    return cored.join(reached, [group, key], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
 def density_summary(clustered: DataFrame, key: str = "partner", group: str = "reporter") -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from portolan.operators import features, segments, tiles
+from portolan.operators import cells, features, segments, tiles
 
 
 def brute_clusters(points, eps, least):
@@ -63,6 +63,7 @@ def table(spark, groups):
 @pytest.mark.parametrize("block", [256, 7])
 def test_density_clusters_against_growth(spark, monkeypatch, block):
     monkeypatch.setattr(tiles, "BLOCK", block)
+    monkeypatch.setattr(cells, "BLOCK", block)
     chain = {k: (k * 0.45, 0.0) for k in range(40)}  # one long thin cluster
     twins = {k: (1.0, 1.0) for k in range(30)} | {99: (9.0, 9.0)}  # a hot spot of copies and noise
     groups = {1: cloud(1, 60), 2: chain, 3: twins, 4: {5: (0.0, 0.0)}, 5: cloud(2, 45)}
@@ -83,6 +84,30 @@ def test_density_clusters_against_growth(spark, monkeypatch, block):
         assert summary[g]["silhouette"] == pytest.approx(expected, abs=1e-9)
 
 
+def test_density_clusters_in_five_dimensions(spark):
+    """More features than the cells have axes, and coordinates on cell borders."""
+    r = random.Random(11)
+    points = {k: tuple(r.choice([0.0, 0.25, 0.5, 1.0, 1.5, -0.5]) if i < 3 else r.gauss(0, 0.3) for i in range(5)) for k in range(150)}
+    labels, core = brute_clusters(points, 0.5, 3)
+    found = {p["partner"]: p for p in segments.density_clusters(table(spark, {1: points}), 0.5, 3).collect()}
+    assert {k: (p["cluster"], p["is_core"]) for k, p in found.items()} == {k: (labels[k], k in core) for k in points}
+    assert {k: p["neighbours"] for k, p in found.items()} == {k: sum(math.dist(points[k], q) <= 0.5 for q in points.values()) for k in points}
+
+
+def test_spread_points_meet_few_others(spark):
+    n = 20_000
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(1, k, p) for k, p in enumerate((r.random((n, 4)) * [40, 40, 0.1, 40]).tolist())], "reporter int, partner int, features array<double>")
+    index = cells.Index(df, 0.5, "partner", "reporter")
+    assert index.axes == [0, 1, 3]
+    met = index.filed(df).groupBy("_cell").count().withColumnRenamed("count", "n")
+    pairs = index.tiles.join(met, "_cell").join(met.select(F.col("_cell").alias("_there"), F.col("n").alias("m")), "_there").agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    assert pairs < n * n / 1000
+    dense = cells.Index(df.withColumn("features", F.transform("features", lambda x: x * 0)), 0.5, "partner", "reporter")
+    blocks = math.ceil(n / cells.BLOCK)
+    assert dense.tiles.count() == blocks * (blocks + 1) // 2
+
+
 @pytest.mark.parametrize("block", [256, 5])
 def test_silhouette_against_definition(spark, monkeypatch, block):
     monkeypatch.setattr(tiles, "BLOCK", block)
