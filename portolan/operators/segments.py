@@ -1,22 +1,20 @@
 """Partner segmentation: k-means, silhouette, density clusters, principal components.
 
 Input is a partner table with an array column ``features`` (see ``features``).
-Silhouette and density clusters work for every reporter in one job; k-means and
-principal components fit one population, so they take a focal reporter.
+Every measure works for one reporter or for all of them in the same jobs.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +27,7 @@ from portolan.operators.features import (
     with_feature_array,
 )
 from portolan.operators import cells
+from portolan.operators import kmeans as clustering
 from portolan.operators.tiles import over_tiles
 from portolan.plans.session import settled
 
@@ -42,24 +41,25 @@ MIN_POINTS = 3
 
 
 class KMeansFit(NamedTuple):
-    """Labelled partners, centres and within-cluster sum of squares."""
+    """Labelled points, centres (group, cluster, center) and the sum of squares within clusters (group, k, inertia)."""
 
     labelled: DataFrame
     centers: DataFrame
-    inertia: float
-
-
-def kmeans(points: DataFrame, k: int = 4, seed: int = SEED, restarts: int = 1) -> KMeansFit:
-    """K-means on ``features``; the best of several seeded starts."""
-    vectors = points.withColumn("_vector", array_to_vector("features"))
-    fits = [
-        KMeans(k=k, seed=seed + r, featuresCol="_vector", predictionCol="cluster").fit(vectors) for r in range(restarts)
-    ]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    centers = points.sparkSession.createDataFrame(
-        [(n, [float(x) for x in c]) for n, c in enumerate(best.clusterCenters())], "cluster int, center array<double>"
-    )
-    return KMeansFit(best.transform(vectors).drop("_vector"), centers, float(best.summary.trainingCost))
+    inertia: DataFrame
+
+
+def _centers(models: DataFrame, group: str) -> DataFrame:
+    return models.select(group, F.posexplode("centers").alias("cluster", "center"))
+
+
+def kmeans(
+    points: DataFrame, k: int = 4, seed: int = SEED, restarts: int = RESTARTS, key: str = "partner", group: str = "reporter"
+) -> KMeansFit:
+    """K-means on ``features`` of every group with at least ``k`` points; the best of several seeded starts."""
+    points = settled(points)
+    models = clustering.fit(points, [k], seed, restarts, key, group)
+    labelled = clustering.assign(points, models, group).withColumn("cluster", F.col("labels")[0]).drop("labels")
+    return KMeansFit(labelled, _centers(models, group), models.select(group, "k", "inertia"))
 
 
 def _label_distances(a, b, distances) -> pd.DataFrame:
@@ -116,35 +116,80 @@ def silhouettes(points: DataFrame, key: str = "partner", group: str = "reporter"
 
 
 class KMeansSweep(NamedTuple):
-    """The chosen fit, its k, and inertia and silhouette for every k tried."""
+    """Scores (group, k, inertia, silhouette, chosen) of every k tried; labels and centres of the chosen one; all models."""
 
-    k: int
-    fit: KMeansFit
     scores: DataFrame
+    labelled: DataFrame
+    centers: DataFrame
+    models: DataFrame
 
 
 def kmeans_sweep(
-    points: DataFrame, max_k: int = 10, seed: int = SEED, restarts: int = RESTARTS, key: str = "partner"
+    points: DataFrame, max_k: int = 10, seed: int = SEED, restarts: int = RESTARTS, key: str = "partner", group: str = "reporter"
 ) -> KMeansSweep:
-    """K-means for 2..``max_k`` clusters; keeps the k with the best silhouette, the lowest on a tie.
+    """K-means of every group for 2 to ``max_k`` clusters, fewer than points; keeps the k with the best silhouette, the lowest on a tie.
 
-    The silhouettes of all fits come from one pass over the distances.
+    All groups, numbers of clusters and starts are fitted together, and all
+    silhouettes come from one pass over the distances. A group of fewer than three
+    points has no scores.
     """
     points = settled(points)
-    ks = list(range(2, min(max_k + 1, points.count())))
-    if not ks:
-        raise ValueError("a sweep needs at least three points")
-    fits = [kmeans(points, k, seed, restarts) for k in ks]
-    labelled = points
-    for n, fit in enumerate(fits):
-        labelled = labelled.join(fit.labelled.select(key, F.col("cluster").alias(f"_c{n}")), key)
-    labelled = labelled.withColumn("labels", F.array(*[f"_c{n}" for n in range(len(ks))]))
-    # One value per k comes back to the driver to choose the model.
-    found = {r["labelling"]: r["silhouette"] for r in silhouettes(labelled, key).collect()}
-    rows = [(k, fit.inertia, float(found[n])) for n, (k, fit) in enumerate(zip(ks, fits))]
-    best = max(range(len(ks)), key=lambda n: (rows[n][2], -ks[n]))
-    scores = points.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-    return KMeansSweep(ks[best], fits[best], scores)
+    least = 2
+    counts = points.groupBy(group).agg(F.count("*").alias("_n"))
+    models = clustering.fit(points, range(least, max_k + 1), seed, restarts, key, group)
+    models = models.join(counts, group).filter(F.col("k") < F.col("_n")).drop("_n")
+    labelled = settled(clustering.assign(points, models, group))
+    found = silhouettes(labelled, key, group).select(group, (F.col("labelling") + least).alias("k"), "silhouette")
+    best = Window.partitionBy(group).orderBy(F.desc("silhouette"), "k")
+    scores = settled(
+        models.join(found, [group, "k"]).withColumn("chosen", F.row_number().over(best) == 1).select(group, "k", "inertia", "silhouette", "chosen")
+    )
+    chosen = scores.filter("chosen").select(group, "k")
+    own = F.element_at("labels", F.col("k") - (least - 1))
+    return KMeansSweep(
+        scores, labelled.join(chosen, group).withColumn("cluster", own).drop("labels", "k"), _centers(models.join(chosen, [group, "k"]), group), models
+    )
+
+
+def cluster_checks(points: DataFrame, models: DataFrame, key: str = "partner", group: str = "reporter") -> DataFrame:
+    """What must hold for every model, per group and k.
+
+    ``points`` counts the points, ``misplaced`` those with a nearer centre than
+    that of their cluster, ``off_centre`` the clusters whose centre is not the mean
+    of their points; ``total_squares`` adds the squares within clusters to those
+    between them, the same for every k.
+    """
+    width = points.select(F.max(F.size("features"))).first()[0]
+    labelled = clustering.assign(points, models, group)
+    each = labelled.select(group, key, "features", F.posexplode("labels").alias("_i", "cluster"))
+    order = Window.partitionBy(group).orderBy("k")
+    numbered = models.select(group, "k", "centers", "inertia", (F.row_number().over(order) - 1).alias("_i"))
+    each = each.join(numbered, [group, "_i"])
+
+    def squares(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+    own = squares(F.col("features"), F.element_at("centers", F.col("cluster") + 1))
+    least = F.array_min(F.transform("centers", lambda c: squares(F.col("features"), c)))
+    per_cluster = (
+        each.select(group, "k", "cluster", "features", "inertia", own.alias("_own"), F.element_at("centers", F.col("cluster") + 1).alias("center"), (own > least).alias("_far"))
+        .groupBy(group, "k", "cluster", "center", "inertia")
+        .agg(
+            F.count("*").alias("n"), F.count_if("_far").alias("far"), F.sum("_own").alias("within"),
+            F.array(*[F.avg(F.col("features")[i]) for i in range(width)]).alias("mean"),
+        )
+    )
+    off = F.exists(F.arrays_zip(F.col("mean").alias("a"), F.col("center").alias("b")), lambda x: F.abs(x["a"] - x["b"]) > 1e-9 * (1 + F.abs(x["a"])))
+    overall = points.groupBy(group).agg(F.array(*[F.avg(F.col("features")[i]) for i in range(width)]).alias("overall"))
+    return (
+        per_cluster.join(overall, group).groupBy(group, "k", "inertia")
+        .agg(
+            F.sum("n").alias("points"), F.sum("far").alias("misplaced"), F.count_if(off).alias("off_centre"),
+            (F.sum("within") + F.sum(F.col("n") * squares(F.col("center"), F.col("overall")))).alias("total_squares"), F.sum("within").alias("_within"),
+        )
+        .withColumn("inertia_holds", F.abs(F.col("_within") - F.col("inertia")) <= 1e-9 * (1 + F.col("inertia")))
+        .drop("_within")
+    )
 
 
 def _indexed(points: DataFrame, eps: float, key: str, group: str) -> tuple[DataFrame, cells.Index]:
@@ -269,27 +314,74 @@ def density_summary(clustered: DataFrame, key: str = "partner", group: str = "re
 
 
 class Components(NamedTuple):
-    """Points with ``pca1..n`` and the share of variance of each component."""
+    """Points with ``pca1..n``, and of each group and component its variance and share of the whole."""
 
     points: DataFrame
     variance: DataFrame
 
 
-def principal_components(points: DataFrame, n: int = 2) -> Components:
-    """Principal components of ``features`` about their mean."""
-    width = points.select(F.max(F.size("features"))).first()[0]
-    # The fit runs jobs anyway; the means are one number per feature.
-    means = points.agg(*[F.avg(F.col("features")[i]) for i in range(width)]).first()
-    centred = points.withColumn(
-        "_vector", array_to_vector(F.array(*[F.col("features")[i] - F.lit(m) for i, m in enumerate(means)]))
+def _axes(covariances: pa.Array) -> pa.Array:
+    """Eigenvalues, falling, and eigenvectors of the matrices of many groups; the largest entry of a vector is positive."""
+    lists = covariances.flatten().to_numpy().reshape(len(covariances), -1)
+    width = math.isqrt(lists.shape[1])
+    values, vectors = np.linalg.eigh(lists.reshape(-1, width, width))
+    values, vectors = np.maximum(values[:, ::-1], 0), np.swapaxes(vectors[:, :, ::-1], 1, 2)
+    top = np.take_along_axis(vectors, np.abs(vectors).argmax(axis=2)[:, :, None], axis=2)
+    vectors = vectors * np.where(top < 0, -1.0, 1.0)
+    return pa.array([{"values": v, "vectors": list(x)} for v, x in zip(values, vectors)], pa.struct({"values": pa.list_(pa.float64()), "vectors": pa.list_(pa.list_(pa.float64()))}))
+
+
+def principal_components(points: DataFrame, n: int = 2, group: str = "reporter") -> Components:
+    """Principal components of ``features`` about their mean, for every group in one job.
+
+    Spark adds up the covariances of all groups in one pass; one row per group goes
+    to the solver, whichever the number of its points. A group without variance has
+    NULL shares, and zero coordinates.
+    """
+    width = points.select(F.max(F.size("features"))).first()[0] or 0
+    x = [F.col("features")[i] for i in range(width)]
+    moments = points.groupBy(group).agg(
+        F.array(*[F.avg(c) for c in x]).alias("_mean"),
+        F.array(*[F.coalesce(F.covar_samp(x[min(i, j)], x[max(i, j)]), F.lit(0.0)) for i in range(width) for j in range(width)]).alias("_covariance"),
     )
-    model = PCA(k=n, inputCol="_vector", outputCol="_pca").fit(centred)
-    placed = model.transform(centred).withColumn("_pca", vector_to_array("_pca"))
-    out = placed.select(*points.columns, *[F.col("_pca")[i].alias(f"pca{i + 1}") for i in range(n)])
-    variance = points.sparkSession.createDataFrame(
-        [(i + 1, float(x)) for i, x in enumerate(model.explainedVariance.toArray())], "component int, variance_share double"
+    solve = F.arrow_udf(_axes, "struct<values: array<double>, vectors: array<array<double>>>")
+    models = settled(moments.withColumn("_axes", solve("_covariance")).select(group, "_mean", "_axes.values", "_axes.vectors"))
+
+    def place(i: int):
+        centred = F.zip_with("features", "_mean", lambda a, m: a - m)
+        return F.aggregate(F.zip_with(centred, F.col("vectors")[i], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+    shown = min(n, width)
+    placed = points.join(models, group).select(*points.columns, *[place(i).alias(f"pca{i + 1}") for i in range(shown)])
+    whole = F.aggregate("values", F.lit(0.0), lambda s, v: s + v)
+    variance = models.select(group, whole.alias("_whole"), F.posexplode(F.slice("values", 1, shown)).alias("_i", "variance")).select(
+        group, (F.col("_i") + 1).alias("component"), "variance", F.try_divide("variance", "_whole").alias("variance_share")
     )
-    return Components(out, variance)
+    return Components(placed, variance)
+
+
+def component_checks(found: Components, group: str = "reporter") -> DataFrame:
+    """What must hold for all components of every group.
+
+    ``total_variance`` and the sums ``power2`` to ``power5`` of powers of the shares
+    determine the variances; ``scores_match`` tells whether the coordinates have
+    these variances, and no covariance between components.
+    """
+    names = [c for c in found.points.columns if c.startswith("pca")]
+    width = len(names)
+    share = F.coalesce("variance_share", F.lit(0.0))
+    sums = found.variance.groupBy(group).agg(
+        F.sum("variance").alias("total_variance"), *[F.sum(F.pow(share, F.lit(m))).alias(f"power{m}") for m in range(2, 6)],
+        F.transform(F.sort_array(F.collect_list(F.struct("component", "variance"))), lambda s: s["variance"]).alias("_variances"),
+    )
+    covariances = found.points.groupBy(group).agg(
+        *[F.coalesce(F.covar_samp(a, b), F.lit(0.0)).alias(f"_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
+    )
+    match = F.lit(True)
+    for i in range(width):
+        for j in range(i, width):
+            match = match & (F.abs(F.col(f"_{i}_{j}") - (F.col("_variances")[i] if i == j else 0.0)) <= 1e-9 * (1 + F.col("total_variance")))
+    return sums.join(covariances, group).withColumn("scores_match", match).select(group, "total_variance", *[f"power{m}" for m in range(2, 6)], "scores_match")
 
 
 class Segmentation(NamedTuple):
@@ -297,13 +389,12 @@ class Segmentation(NamedTuple):
 
     partners: DataFrame
     sweep: DataFrame
-    k: int
     centers: DataFrame
     density: DataFrame
     variance: DataFrame
 
 
-def basic_segments(flows: DataFrame, countries: DataFrame, focal: int, k: int = 4, seed: int = SEED) -> Components:
+def basic_segments(flows: DataFrame, countries: DataFrame, focal: int | None = None, k: int = 4, seed: int = SEED) -> Components:
     """Four standardised features, k-means with a fixed k and two components."""
     points = settled(
         with_feature_array(standard_scaled(partner_features(flows, countries, focal), BASIC_FEATURES), BASIC_FEATURES)
@@ -319,14 +410,17 @@ def partner_points(
 
 
 def partner_segments(
-    flows: DataFrame, countries: DataFrame, focal: int, max_k: int = 10, seed: int = SEED, restarts: int = RESTARTS
+    flows: DataFrame, countries: DataFrame, focal: int | None = None, max_k: int = 10, seed: int = SEED, restarts: int = RESTARTS
 ) -> Segmentation:
-    """Five robustly scaled features, swept k-means, density clusters, three components."""
+    """Five robustly scaled features, swept k-means, density clusters, three components, for one reporter or all.
+
+    A reporter of fewer than three partners has NULL as cluster of the sweep.
+    """
     points = settled(partner_points(flows, countries, focal))
     sweep = kmeans_sweep(points, max_k, seed, restarts)
-    dense = density_clusters(points)
+    dense = settled(density_clusters(points))
     placed = principal_components(points, 3)
-    labels = sweep.fit.labelled.select("reporter", "partner", F.col("cluster").alias("kmeans_cluster"))
+    labels = sweep.labelled.select("reporter", "partner", F.col("cluster").alias("kmeans_cluster"))
     noise = dense.select("reporter", "partner", F.col("cluster").alias("dbscan_cluster"))
-    partners = placed.points.join(labels, ["reporter", "partner"]).join(noise, ["reporter", "partner"])
-    return Segmentation(partners, sweep.scores, sweep.k, sweep.fit.centers, density_summary(dense), placed.variance)
+    partners = placed.points.join(labels, ["reporter", "partner"], "left").join(noise, ["reporter", "partner"])
+    return Segmentation(partners, sweep.scores, sweep.centers, density_summary(dense), placed.variance)

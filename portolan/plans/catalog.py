@@ -35,7 +35,8 @@ from portolan.sources.readers import TradeData
 
 FOCAL = 18
 YEARS = (1997, 1998, 1999, 2000)
-CHAPTERS = tuple(range(1, 26))
+# Every two-digit code, so that no chapter is left out.
+CHAPTERS = tuple(range(100))
 # Left out of the dimension by the two queries about codes without a name.
 UNLISTED = 24
 
@@ -925,6 +926,11 @@ def _fixed_labels(points: DataFrame) -> DataFrame:
     return points.withColumn("labels", F.array(large, large + dear))
 
 
+def _kmeans_properties(data: TradeData) -> DataFrame:
+    points = segments.settled(segments.partner_points(data.flows, data.countries))
+    return segments.cluster_checks(points, segments.kmeans_sweep(points).models)
+
+
 SCALED_BASIC = " ".join(f"{c}_scaled:num" for c in features.BASIC_FEATURES)
 SCALED = " ".join(f"{c}_scaled:num" for c in features.FEATURES)
 
@@ -964,32 +970,66 @@ FROM (SELECT reporter, count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END) A
              count(*) FILTER (WHERE cluster = -1) AS n_noise FROM clustered GROUP BY reporter) c
 JOIN ({_silhouette_sql('SELECT reporter, 0 AS labelling, partner, cluster FROM clustered')}) s ON s.reporter = c.reporter""",
     ),
-    # No SQL twins below: fits are iterative and labels and signs are free.
+    # Fits are iterative and labels are free; what must hold for them SQL can tell.
+    "kmeans_properties": Query(
+        lambda d, f: _kmeans_properties(d),
+        "reporter:int k:int points:long misplaced:long off_centre:long inertia_holds:bool total_squares:num4",
+        f"""SELECT reporter, k, n AS points, 0 AS misplaced, 0 AS off_centre, true AS inertia_holds, total_squares FROM (
+  SELECT reporter, count(*) AS n, count(*) * ({" + ".join(f"var_pop({c}_scaled)" for c in features.FEATURES)}) AS total_squares
+  FROM ({ROBUST}) p GROUP BY reporter
+) g JOIN range(2, 11) r(k) ON k < n""",
+        both=False,
+    ),
+    "component_properties": Query(
+        lambda d, f: segments.component_checks(
+            segments.principal_components(segments.settled(segments.partner_points(d.flows, d.countries)), len(features.FEATURES))
+        ),
+        "reporter:int total_variance:num4 power2:num power3:num power4:num power5:num scores_match:bool",
+        f"""SELECT reporter, total_variance, power2, power3, power4, power5, true AS scores_match FROM (
+  WITH cells AS (
+    SELECT reporter, partner, unnest(range(0, {len(features.FEATURES)})) AS i, unnest([{", ".join(f"{c}_scaled" for c in features.FEATURES)}]) AS x FROM ({ROBUST}) p),
+  covariance AS (
+    SELECT a.reporter, a.i, b.i AS j, covar_samp(a.x, b.x) AS c FROM cells a JOIN cells b ON a.reporter = b.reporter AND a.partner = b.partner GROUP BY ALL),
+  whole AS (SELECT reporter, sum(c) AS total_variance FROM covariance WHERE i = j GROUP BY reporter),
+  one AS (SELECT v.reporter, i, j, c / total_variance AS c FROM covariance v JOIN whole w ON v.reporter = w.reporter),
+  two AS (SELECT a.reporter, a.i, b.j, sum(a.c * b.c) AS c FROM one a JOIN one b ON a.reporter = b.reporter AND a.j = b.i GROUP BY ALL),
+  three AS (SELECT a.reporter, a.i, b.j, sum(a.c * b.c) AS c FROM two a JOIN one b ON a.reporter = b.reporter AND a.j = b.i GROUP BY ALL)
+  SELECT w.reporter, total_variance, power2, power3, power4, power5 FROM whole w
+  JOIN (SELECT reporter, sum(c) AS power2 FROM two WHERE i = j GROUP BY reporter) a ON a.reporter = w.reporter
+  JOIN (SELECT reporter, sum(c) AS power3 FROM three WHERE i = j GROUP BY reporter) b ON b.reporter = w.reporter
+  JOIN (SELECT x.reporter, sum(x.c * y.c) AS power4 FROM two x JOIN two y ON x.reporter = y.reporter AND x.i = y.j AND x.j = y.i GROUP BY x.reporter) e
+    ON e.reporter = w.reporter
+  JOIN (SELECT x.reporter, sum(x.c * y.c) AS power5 FROM two x JOIN three y ON x.reporter = y.reporter AND x.i = y.j AND x.j = y.i GROUP BY x.reporter) g
+    ON g.reporter = w.reporter
+) m""",
+        both=False,
+    ),
+    # No SQL twins below; they fit every reporter in the same jobs.
     "kmeans_sweep": Query(
-        lambda d, f: segments.kmeans_sweep(segments.partner_points(d.flows, d.countries, FOCAL), restarts=3).scores,
-        "k:int inertia:num silhouette:num",
+        lambda d, f: segments.kmeans_sweep(segments.partner_points(d.flows, d.countries)).scores,
+        "reporter:int k:int inertia:num silhouette:num chosen:bool",
         both=False,
     ),
     "kmeans_centers": Query(
-        lambda d, f: segments.kmeans(segments.settled(segments.partner_points(d.flows, d.countries, FOCAL))).centers.select(
-            "cluster", *[F.col("center")[n].alias(c) for n, c in enumerate(features.FEATURES)]
+        lambda d, f: segments.kmeans(segments.partner_points(d.flows, d.countries)).centers.select(
+            "reporter", "cluster", *[F.col("center")[n].alias(c) for n, c in enumerate(features.FEATURES)]
         ),
-        "cluster:int " + " ".join(f"{c}:num" for c in features.FEATURES),
+        "reporter:int cluster:int " + " ".join(f"{c}:num" for c in features.FEATURES),
         both=False,
     ),
     "basic_segments": Query(
-        lambda d, f: segments.basic_segments(d.flows, d.countries, FOCAL).points,
+        lambda d, f: segments.basic_segments(d.flows, d.countries).points,
         "reporter:int partner:int partner_name:str cluster:int pca1:num pca2:num",
         both=False,
     ),
     "partner_segments": Query(
-        lambda d, f: segments.partner_segments(d.flows, d.countries, FOCAL, restarts=3).partners,
+        lambda d, f: segments.partner_segments(d.flows, d.countries).partners,
         "reporter:int partner:int partner_name:str kmeans_cluster:int dbscan_cluster:int pca1:num pca2:num pca3:num",
         both=False,
     ),
     "component_variance": Query(
-        lambda d, f: segments.principal_components(segments.settled(segments.partner_points(d.flows, d.countries, FOCAL)), 3).variance,
-        "component:int variance_share:num",
+        lambda d, f: segments.principal_components(segments.settled(segments.partner_points(d.flows, d.countries)), 3).variance,
+        "reporter:int component:int variance_share:num",
         both=False,
     ),
 }

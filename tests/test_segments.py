@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from portolan.operators import cells, features, segments, tiles
+from portolan.operators import cells, features, kmeans, segments, tiles
 
 
 def brute_clusters(points, eps, least):
@@ -144,40 +144,95 @@ def test_partner_features(flows, countries, as_rows):
     assert got[0]["unit_value"] == pytest.approx(40 / 2.001) and got[1]["unit_value"] == pytest.approx(60000)
 
 
-def test_kmeans_and_sweep(spark):
-    r = random.Random(4)
-    points = {k: (c * 20 + r.random(), c * 20 + r.random()) for c in range(3) for k in range(c * 10, c * 10 + 10)}
-    df = table(spark, {1: points})
-    sweep = segments.kmeans_sweep(df, 6)
-    assert sweep.k == 3
-    scores = {s["k"]: s for s in sweep.scores.collect()}
-    assert sorted(scores) == [2, 3, 4, 5, 6] and scores[2]["inertia"] > scores[3]["inertia"]
-    groups = {}
-    for row in sweep.fit.labelled.collect():
-        groups.setdefault(row["cluster"], set()).add(row["partner"] // 10)
-    assert sorted(map(sorted, groups.values())) == [[0], [1], [2]]
-    assert sweep.fit.centers.count() == 3
-    xy = np.array(list(points.values()))
-    parts = [xy[i * 10 : i * 10 + 10] for i in range(3)]
-    assert sweep.fit.inertia == pytest.approx(sum(((p - p.mean(axis=0)) ** 2).sum() for p in parts))
-    with pytest.raises(ValueError):
-        segments.kmeans_sweep(df.limit(2))
-
-
-def test_principal_components(spark):
+def hills(seed, centers, size, first=0):
+    r = random.Random(seed)
+    return {first + c * size + i: (c * 20 + r.random(), c * 20 + r.random()) for c in range(centers) for i in range(size)}
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_kmeans_and_sweep_of_all_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(kmeans, "BLOCK", block)
+    groups = {1: hills(4, 3, 10), 2: hills(5, 2, 6), 3: {1: (0.0, 0.0), 2: (5.0, 5.0)}, 4: {k: (1.0, 1.0) for k in range(6)}}
+    df = table(spark, groups)
+    sweep = segments.kmeans_sweep(df, 6, restarts=4)
+    scores = {}
+    for s in sweep.scores.collect():
+        scores.setdefault(s["reporter"], {})[s["k"]] = s
+    assert {g: sorted(v) for g, v in scores.items()} == {1: [2, 3, 4, 5, 6], 2: [2, 3, 4, 5, 6], 4: [2, 3, 4, 5]}
+    assert [k for k, s in scores[1].items() if s["chosen"]] == [3] and [k for k, s in scores[2].items() if s["chosen"]] == [2]
+    parts = {}
+    for row in sweep.labelled.collect():
+        parts.setdefault((row["reporter"], row["cluster"]), set()).add(row["partner"])
+    assert sorted(map(sorted, (v for (g, _), v in parts.items() if g == 1))) == [list(range(i * 10, i * 10 + 10)) for i in range(3)]
+    assert sorted(map(sorted, (v for (g, _), v in parts.items() if g == 2))) == [list(range(6)), list(range(6, 12))]
+    for (g, cluster), members in parts.items():
+        center = [c["center"] for c in sweep.centers.collect() if c["reporter"] == g and c["cluster"] == cluster]
+        assert len(center) == 1 and center[0] == pytest.approx(np.mean([groups[g][m] for m in members], axis=0))
+    assert scores[1][3]["inertia"] == pytest.approx(
+        sum(((np.array([groups[1][m] for m in v]) - np.mean([groups[1][m] for m in v], axis=0)) ** 2).sum() for (g, _), v in parts.items() if g == 1)
+    )
+    checks = segments.cluster_checks(df, sweep.models).collect()
+    assert len(checks) == 14
+    for c in checks:
+        xy = np.array(list(groups[c["reporter"]].values()))
+        assert (c["points"], c["misplaced"], c["off_centre"], c["inertia_holds"]) == (len(xy), 0, 0, True)
+        assert c["total_squares"] == pytest.approx(((xy - xy.mean(axis=0)) ** 2).sum(), abs=1e-9)
+
+
+def test_kmeans_does_not_depend_on_blocks_and_finds_good_fits(spark, monkeypatch):
+    points = {1: cloud(21, 120), 2: cloud(22, 80)}
+    found = []
+    for block in (1024, 16):
+        monkeypatch.setattr(kmeans, "BLOCK", block)
+        rows = segments.kmeans(table(spark, points), 4, restarts=10).labelled.collect()
+        found.append({(r["reporter"], r["partner"]): r["cluster"] for r in rows})
+    assert found[0] == found[1]
+    fit = segments.kmeans(table(spark, points), 4)
+    rng = np.random.default_rng(0)
+    for row in fit.inertia.collect():  # no worse than many plain runs
+        xy, best = np.array(list(points[row["reporter"]].values())), np.inf
+        for _ in range(40):
+            centers = xy[rng.choice(len(xy), 4, replace=False)]
+            for _ in range(60):
+                near = ((xy[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+                centers = np.array([xy[near == c].mean(axis=0) if (near == c).any() else centers[c] for c in range(4)])
+            best = min(best, ((xy[:, None] - centers[None]) ** 2).sum(axis=2).min(axis=1).sum())
+        assert row["inertia"] <= best * 1.02
+    small = segments.kmeans(table(spark, {1: {1: (0.0, 1.0), 2: (3.0, 1.0)}}), 2)
+    assert sorted(c["center"] for c in small.centers.collect()) == [[0.0, 1.0], [3.0, 1.0]]
+    assert segments.kmeans(table(spark, {1: {1: (0.0, 1.0)}}), 2).labelled.collect() == []
+
+
+def test_draws_follow_the_weights():
+    """The first clock of weighted points rings as often as their weights say."""
+    keys, weights = np.arange(4), np.array([1.0, 2.0, 0.0, 5.0])
+    with np.errstate(divide="ignore"):
+        first = [int((kmeans.clocks(keys, 42, start, 1) / weights).argmin()) for start in range(8000)]
+    assert np.bincount(first, minlength=4) / 8000 == pytest.approx(weights / 8, abs=0.02)
+    assert (kmeans.clocks(keys, 42, 3, 1) != kmeans.clocks(keys, 42, 3, 2)).all()
+
+
+def test_principal_components_of_all_groups(spark):
     r = np.random.default_rng(5)
-    xy = r.normal(size=(40, 3)) * [5, 2, 0.5] + [100, -50, 7]
-    df = table(spark, {1: {k: tuple(p) for k, p in enumerate(xy)}})
+    groups = {g: r.normal(size=(40, 3)) * [5, 2, 0.5] @ r.normal(size=(3, 3)) + [100, -50, 7] for g in (1, 2)}
+    lone = {3: np.array([[1.0, 2.0, 3.0]]), 4: np.array([[1.0, 2.0, 3.0]] * 5)}
+    df = table(spark, {g: {k: tuple(p) for k, p in enumerate(xy)} for g, xy in (groups | lone).items()})
     found = segments.principal_components(df, 2)
-    centred = xy - xy.mean(axis=0)
-    values, vectors = np.linalg.eigh(np.cov(centred.T))
-    shares = sorted(values / values.sum(), reverse=True)
-    assert [v["variance_share"] for v in found.variance.orderBy("component").collect()] == pytest.approx(shares[:2])
-    placed = np.array([[p["pca1"], p["pca2"]] for p in found.points.orderBy("partner").collect()])
-    expected = centred @ vectors[:, np.argsort(values)[::-1][:2]]
-    # The direction of an axis is free.
-    assert np.abs(placed) == pytest.approx(np.abs(expected), abs=1e-8)
-    assert placed.mean(axis=0) == pytest.approx([0, 0], abs=1e-9)
+    shares = {(v["reporter"], v["component"]): v for v in found.variance.collect()}
+    assert len(shares) == 8
+    for g, xy in groups.items():
+        centred = xy - xy.mean(axis=0)
+        values, vectors = np.linalg.eigh(np.cov(centred.T))
+        order = np.argsort(values)[::-1][:2]
+        assert [shares[g, c]["variance_share"] for c in (1, 2)] == pytest.approx(list(values[order] / values.sum()))
+        assert [shares[g, c]["variance"] for c in (1, 2)] == pytest.approx(list(values[order]))
+        placed = np.array([[p["pca1"], p["pca2"]] for p in found.points.filter(F.col("reporter") == g).orderBy("partner").collect()])
+        # The direction of an axis is free in theory; here the largest entry of the vector is positive.
+        signs = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(3)])
+        assert placed == pytest.approx(centred @ (vectors * signs)[:, order], abs=1e-8)
+    for g in lone:
+        assert [(shares[g, c]["variance"], shares[g, c]["variance_share"]) for c in (1, 2)] == [(0, None)] * 2
+        assert all(p["pca1"] == 0 and p["pca2"] == 0 for p in found.points.filter(F.col("reporter") == g).collect())
 
 
 def test_checkpoints_keep_a_directory_already_set(spark):
