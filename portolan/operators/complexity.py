@@ -10,6 +10,7 @@ from portolan.functions.labels import quadrant
 from portolan.functions.numeric import share, total
 from portolan.operators.directional import exports, top_per
 from portolan.operators.distribution import histogram
+from portolan.operators.ranks import Ordered, ordered
 
 
 def product_ubiquity(flows: DataFrame) -> DataFrame:
@@ -75,26 +76,17 @@ def complexity_histogram(flows: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def economic_complexity(flows: DataFrame, focal: int | None = None) -> DataFrame:
-    """Products exported, the mean over exporters and the share of exporters below.
-
-    The exporters below a reporter are counted on the table of distinct
-    diversities, which has no more rows than there are exporters.
-    """
+    """Products exported, the mean over exporters and the share of exporters below."""
     diversity = flows.groupBy(F.col("i").alias("reporter")).agg(F.count_distinct("k").alias("diversity"))
-    levels = diversity.groupBy("diversity").agg(F.count("*").alias("n"))
-    ladder = levels.select(
-        "diversity",
-        (F.sum("n").over(Window.orderBy("diversity")) - F.col("n")).alias("below"),
-    )
-    whole = levels.agg(
-        F.struct(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("diversity")) / F.sum("n")).alias("mean"))
-    ).scalar()
-    mine = diversity if focal is None else diversity.filter(F.col("reporter") == focal)
-    return mine.join(ladder, "diversity").select(
+    placed = ordered(diversity, [F.asc("diversity"), F.asc("reporter")])
+    ladder = placed.rows.groupBy("diversity").agg((F.min("place") - 1).alias("below"))
+    mean = placed.rows.agg(F.avg("diversity")).scalar()
+    mine = placed.rows if focal is None else placed.rows.filter(F.col("reporter") == focal)
+    return mine.select("reporter", "diversity").join(ladder, "diversity").select(
         "reporter",
         "diversity",
-        whole["mean"].alias("mean_diversity"),
-        (F.col("below") / whole["n"] * 100).alias("diversity_percentile"),
+        mean.alias("mean_diversity"),
+        (F.col("below") / F.lit(placed.size) * 100).alias("diversity_percentile"),
     )
 
 
@@ -141,25 +133,27 @@ def product_metrics(flows: DataFrame) -> DataFrame:
     )
 
 
-def opportunity_candidates(flows: DataFrame) -> DataFrame:
-    """Products above both the median complexity and the median world value.
+def _ranked_candidates(flows: DataFrame) -> Ordered:
+    """Products above both medians with their place by world value.
 
-    The medians cover all products.  There are at most a million six-digit codes,
-    which bounds what the exact percentile has to hold.
+    The products are sorted once: the median value, and the places of the products
+    above both medians, follow from it. A product's complexity only depends on its
+    number of exporters, so that the other median needs one row per such number.
     """
-    metrics = product_metrics(flows)
-    mid = metrics.agg(
-        F.struct(
-            F.percentile("complexity", F.lit(0.5)).alias("complexity"),
-            F.percentile("global_value", F.lit(0.5)).alias("value"),
-        )
-    ).scalar()
-    return metrics.filter((F.col("complexity") > mid["complexity"]) & (F.col("global_value") > mid["value"]))
+    by_value = ordered(product_metrics(flows), [F.desc("global_value"), F.asc("product")])
+    levels = by_value.rows.groupBy("complexity").agg(F.count("*").alias("n"))
+    complexity = levels.agg(F.percentile("complexity", F.lit(0.5), F.col("n"))).scalar()
+    return by_value.only((F.col("complexity") > complexity) & (F.col("global_value") > by_value.median("global_value")))
+
 
+def opportunity_candidates(flows: DataFrame) -> DataFrame:
+    """Products above both the median complexity and the median world value of all products."""
+    return _ranked_candidates(flows).rows.drop("place")
 
-def _open_to(flows: DataFrame, focal: int) -> DataFrame:
+
+def _not_exported(candidates: DataFrame, flows: DataFrame, focal: int) -> DataFrame:
     mine = flows.filter(F.col("i") == focal).select(F.col("k").alias("product")).distinct()
-    return opportunity_candidates(flows).join(mine, "product", "left_anti").withColumn("reporter", F.lit(focal))
+    return candidates.join(mine, "product", "left_anti").withColumn("reporter", F.lit(focal))
 
 
 def product_opportunities(flows: DataFrame, n: int = 20, focal: int | None = None) -> DataFrame:
@@ -169,12 +163,10 @@ def product_opportunities(flows: DataFrame, n: int = 20, focal: int | None = Non
     out: a reporter that exports ``m`` candidates finds its first ``n`` open ones
     among the first ``n + m``, so only that many ranks are looked at.
     """
-    order = [F.desc("global_value"), F.asc("product")]
+    ranked = _ranked_candidates(flows).rows
     columns = ["reporter", "rank", "product", "global_value", "num_exporters", "num_importers", "complexity"]
     if focal is not None:
-        return top_per(_open_to(flows, focal), ["reporter"], order, n).select(*columns)
-
-    ranked = opportunity_candidates(flows).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+        return top_per(_not_exported(ranked, flows, focal), ["reporter"], [F.asc("place")], n).select(*columns)
     held = (
         flows.select(F.col("i").alias("reporter"), F.col("k").alias("product"))
         .distinct()
@@ -190,10 +182,11 @@ def product_opportunities(flows: DataFrame, n: int = 20, focal: int | None = Non
 
 def opportunity_counts(flows: DataFrame, n: int = 20, focal: int | None = None) -> DataFrame:
     """Number of opportunities, as listed (never above ``n``) and uncut."""
+    found = _ranked_candidates(flows)
+    candidates = found.rows.select("product")
     if focal is not None:
-        counts = _open_to(flows, focal).agg(F.lit(focal).alias("reporter"), F.count("*").alias("uncut_count"))
+        counts = _not_exported(candidates, flows, focal).agg(F.lit(focal).alias("reporter"), F.count("*").alias("uncut_count"))
     else:
-        candidates = opportunity_candidates(flows).select("product")
         held = (
             flows.select(F.col("i").alias("reporter"), F.col("k").alias("product"))
             .distinct()
@@ -201,8 +194,7 @@ def opportunity_counts(flows: DataFrame, n: int = 20, focal: int | None = None)
             .groupBy("reporter")
             .agg(F.count("is_candidate").alias("held"))
         )
-        everything = candidates.agg(F.count("*").alias("n")).scalar()
-        counts = held.select("reporter", (everything - F.col("held")).alias("uncut_count"))
+        counts = held.select("reporter", (F.lit(found.size) - F.col("held")).alias("uncut_count"))
     return counts.select(
         "reporter",
         F.least(F.col("uncut_count"), F.lit(n).cast("bigint")).alias("opportunity_count"),

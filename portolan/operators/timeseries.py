@@ -5,6 +5,7 @@ All of these read the yearly totals, a handful of rows per reporter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,35 +14,52 @@ from pyspark.sql import functions as F
 from portolan.functions.codes import hs2
 from portolan.functions.numeric import MILLION, change_pct, total, usd
 from portolan.operators.directional import exports, sides, top_per
+from portolan.operators.ranks import ordered
 from portolan.operators.totals import yearly
+from portolan.plans.session import settled
 
-# A period is a year, so a series has as many points as there are years.  All
-# pairwise slopes of a series live in one row; a longer series is an error.
-MAX_PERIODS = 2000
-
-# Two-sided 95 % points of Student's t for 1 to 30 degrees of freedom.
-T_95 = (
-    12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851,
-    2.364624252, 2.306004135, 2.262157163, 2.228138852, 2.200985160, 2.178812830,
-    2.160368656, 2.144786688, 2.131449546, 2.119905299, 2.109815578, 2.100922040,
-    2.093024054, 2.085963447, 2.079613845, 2.073873068, 2.068657610, 2.063898562,
-    2.059538553, 2.055529439, 2.051830516, 2.048407142, 2.045229642, 2.042272456,
-)
 Z_95 = 1.959963984540054
 
+#: Periods of a series that meet others in one task.
+BLOCK = 256
+#: Enough for sixteen digits at one degree of freedom, the slowest.
+NEWTON_STEPS = 8
+
 
 def t_critical(df: Column) -> Column:
-    """Two-sided 95 % point of Student's t; an expansion around the normal beyond the table."""
-    z = Z_95
-    g1 = (z**3 + z) / 4
-    g2 = (5 * z**5 + 16 * z**3 + 3 * z) / 96
-    g3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
-    d = df.cast("double")
-    expansion = F.lit(z) + g1 / d + g2 / (d * d) + g3 / (d * d * d)
-    table = F.array(*[F.lit(t) for t in T_95])
-    return F.when(df.between(1, len(T_95)), F.try_element_at(table, df.cast("int"))).when(
-        df > len(T_95), expansion
+    """Two-sided 95 % point of Student's t at any whole number of degrees of freedom.
+
+    For an angle ``a`` with ``tan(a) = t / sqrt(df)`` the probability between -t
+    and t is a finite sum of powers of ``cos(a)``, with derivative proportional to
+    ``cos(a) ** (df - 1)``. Newton's steps on the angle start at the normal point,
+    below the root, and the probability is concave there: they never pass it.
+    """
+    n = df.cast("double")
+    odd = n % 2 == 1
+    terms = F.when(odd, (n - 1) / 2).otherwise(n / 2).cast("int")
+    steps = F.when(terms > 1, F.sequence(F.lit(1), F.greatest(terms - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+    def series(square: Column) -> Column:
+        """1 + the products of the ratios of the series, times powers of ``square``."""
+
+        def longer(s: Column, i: Column) -> Column:
+            ratio = F.when(odd, 2.0 * i / (2.0 * i + 1)).otherwise((2.0 * i - 1) / (2.0 * i))
+            term = s["term"] * ratio * square
+            return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+        found = F.aggregate(steps, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), longer)
+        return F.when(terms >= 1, found["sum"]).otherwise(0.0)
+
+    def inside(a: Column) -> Column:
+        total = series(F.cos(a) * F.cos(a))
+        return F.when(odd, 2 / math.pi * (a + F.sin(a) * F.cos(a) * total)).otherwise(F.sin(a) * total)
+
+    slope = F.when(odd, 2 / math.pi * (1 + series(F.lit(1.0)))).otherwise(series(F.lit(1.0)))
+    angle = F.aggregate(
+        F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.atan(Z_95 / F.sqrt(n)),
+        lambda a, _: a + (0.95 - inside(a)) / (slope * F.pow(F.cos(a), n - 1)),
     )
+    return F.when(df >= 1, F.tan(angle) * F.sqrt(n))
 
 
 def balance_openness_of(both: DataFrame) -> DataFrame:
@@ -119,54 +137,59 @@ def growth_stats(flows: DataFrame, focal: int | None = None, years: str = "both"
     return growth_stats_of(series(flows, focal, years))
 
 
-def _median(sorted_values: Column) -> Column:
-    n = F.size(sorted_values)
-    low = F.element_at(sorted_values, F.floor((n + 1) / 2).cast("int"))
-    high = F.element_at(sorted_values, F.ceil((n + 1) / 2).cast("int"))
-    return (low + high) / 2
+def _slopes(points: DataFrame) -> DataFrame:
+    """Slopes between all pairs of periods of a series.
+
+    The periods of a long series are dealt into blocks, and a pair of blocks is a
+    join key of its own, so that no series becomes one large task.
+    """
+    by = ["direction", "reporter"]
+    blocked = points.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy("t")) - 1) / BLOCK).cast("int"))
+    last = blocked.groupBy(*by).agg(F.max("_block").alias("_last"))
+    early = blocked.join(last, by).withColumn("_late", F.explode(F.sequence("_block", "_last"))).withColumnRenamed("_block", "_early")
+    late = blocked.select(
+        *by, F.col("t").alias("t2"), F.col("v").alias("v2"), F.col("_block").alias("_late"), F.explode(F.sequence(F.lit(0), "_block")).alias("_early")
+    )
+    return (
+        early.join(late, [*by, "_early", "_late"]).filter(F.col("t") < F.col("t2"))
+        .select(*by, ((F.col("v2") - F.col("v")) / (F.col("t2") - F.col("t"))).alias("slope"))
+    )
 
 
 def trend_of(yearly_values: DataFrame) -> DataFrame:
     """Theil-Sen line: median pairwise slope, intercept and 95 % bounds of the slope.
 
-    One series is one row holding its points in year order; the slopes are built
-    from that array, so the pairs of years cost neither a join nor a shuffle.
+    All slopes are put in order together, and the wanted ones of each series are
+    picked by their place; no series is gathered in one row or one buffer of slopes.
     """
-    points = (
-        yearly_values.groupBy("direction", "reporter")
-        .agg(F.count("v").alias("n"), F.array_sort(F.collect_list(F.struct("t", "v"))).alias("p"))
-        .filter(F.when(F.col("n") <= MAX_PERIODS, F.col("n") >= 2).otherwise(
-            F.raise_error(F.lit(f"a series has more than {MAX_PERIODS} periods"))
-        ))
-    )
-
-    def later(a: Column, at: Column) -> Column:
-        rest = F.slice("p", at + 2, F.greatest(F.size("p") - at - 1, F.lit(0)))
-        return F.transform(rest, lambda b: (b["v"] - a["v"]) / (b["t"] - a["t"]))
-
-    years = F.transform("p", lambda a: a["t"].cast("double"))
-    values = F.array_sort(F.transform("p", lambda a: a["v"]))
+    by = ["direction", "reporter"]
+    points = settled(yearly_values.filter(F.col("v").isNotNull()))
+    slopes = ordered(_slopes(points), [*map(F.col, by), F.col("slope")]).rows
     # Equal values lower the variance of the slope statistic.
-    ties = F.aggregate(
-        F.transform(
-            F.array_distinct("y"), lambda u: F.size(F.filter("y", lambda w: w == u)).cast("double")
-        ),
-        F.lit(0.0),
-        lambda acc, c: acc + c * (c - 1) * (2 * c + 5),
+    equal = points.groupBy(*by, "v").agg(F.count("*").cast("double").alias("c"))
+    ties = equal.groupBy(*by).agg(F.sum(F.col("c") * (F.col("c") - 1) * (2 * F.col("c") + 5)).alias("ties"))
+    middles = points.groupBy(*by).agg(
+        F.count("*").alias("n"), F.percentile("v", F.lit(0.5)).alias("_v"), F.percentile(F.col("t").cast("double"), F.lit(0.5)).alias("_t")
     )
-    n, pairs = F.col("n").cast("double"), F.col("pairs").cast("double")
+    spans = slopes.groupBy(*by).agg(F.min("place").alias("_first"), F.count("*").alias("_pairs"))
+    n, pairs = F.col("n").cast("double"), F.col("_pairs").cast("double")
     sigma = F.sqrt((n * (n - 1) * (2 * n + 5) - F.col("ties")) / 18)
-    first = F.greatest(F.bround((pairs - Z_95 * sigma) / 2, 0) - 1, F.lit(0.0)).cast("int")
-    last = F.least(F.bround((pairs + Z_95 * sigma) / 2, 0), pairs - 1).cast("int")
+    wanted = {
+        "low": F.greatest(F.bround((pairs - Z_95 * sigma) / 2, 0) - 1, F.lit(0.0)),
+        "high": F.least(F.bround((pairs + Z_95 * sigma) / 2, 0), pairs - 1),
+        "mid": F.floor((pairs - 1) / 2),
+        "next": F.floor(pairs / 2),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(role).alias("role"), (F.col("_first") + at.cast("long")).alias("place")) for role, at in wanted.items()]))
+    picks = spans.join(middles, by).join(ties, by).select(*by, "n", "_v", "_t", each.alias("_pick")).select(*by, "n", "_v", "_t", "_pick.*")
+
+    def of(*roles: str) -> Column:
+        return F.avg(F.when(F.col("role").isin(*roles), F.col("slope")))
+
     return (
-        points.withColumns({"x": years, "y": values, "slopes": F.array_sort(F.flatten(F.transform("p", later)))})
-        .withColumns({"pairs": F.size("slopes"), "ties": ties, "slope": _median(F.col("slopes"))})
-        .select(
-            "direction", "reporter", "n", "slope",
-            (_median(F.col("y")) - F.col("slope") * _median(F.col("x"))).alias("intercept"),
-            F.get("slopes", first).alias("slope_low"),
-            F.get("slopes", last).alias("slope_high"),
-        )
+        picks.join(slopes.select("place", "slope"), "place").groupBy(*by, "n", "_v", "_t")
+        .agg(of("mid", "next").alias("slope"), of("low").alias("slope_low"), of("high").alias("slope_high"))
+        .select(*by, "n", "slope", (F.col("_v") - F.col("slope") * F.col("_t")).alias("intercept"), "slope_low", "slope_high")
     )
 
 

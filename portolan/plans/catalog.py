@@ -225,8 +225,19 @@ def _correlations_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+# Fixed values of the SQL twins: two-sided 95 % points of Student's t for 1 to 30 degrees of freedom, and of the normal.
+T_95 = (
+    12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851,
+    2.364624252, 2.306004135, 2.262157163, 2.228138852, 2.200985160, 2.178812830,
+    2.160368656, 2.144786688, 2.131449546, 2.119905299, 2.109815578, 2.100922040,
+    2.093024054, 2.085963447, 2.079613845, 2.073873068, 2.068657610, 2.063898562,
+    2.059538553, 2.055529439, 2.051830516, 2.048407142, 2.045229642, 2.042272456,
+)
+Z_95 = 1.959963984540054
+
+
 def _t_table_sql() -> str:
-    return "CASE n - 1 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(timeseries.T_95, 1)) + " END"
+    return "CASE n - 1 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(T_95, 1)) + " END"
 
 
 GROWTH_STATS = f"""SELECT direction, reporter, n, mean, std,
@@ -246,9 +257,9 @@ JOIN (SELECT direction, reporter, sum(c * (c - 1) * (2 * c + 5)) AS ties FROM (
   SELECT direction, reporter, v, CAST(count(*) AS DOUBLE) AS c FROM series GROUP BY direction, reporter, v) e
   GROUP BY direction, reporter) k ON p.direction = k.direction AND p.reporter = k.reporter
 JOIN numbered lo ON p.direction = lo.direction AND p.reporter = lo.reporter AND lo.at =
-  greatest(round_even((pairs - {timeseries.Z_95} * sqrt((n * (n - 1.0) * (2 * n + 5) - ties) / 18)) / 2, 0) - 1, 0)
+  greatest(round_even((pairs - {Z_95} * sqrt((n * (n - 1.0) * (2 * n + 5) - ties) / 18)) / 2, 0) - 1, 0)
 JOIN numbered hi ON p.direction = hi.direction AND p.reporter = hi.reporter AND hi.at =
-  least(round_even((pairs + {timeseries.Z_95} * sqrt((n * (n - 1.0) * (2 * n + 5) - ties) / 18)) / 2, 0), pairs - 1)""".replace(
+  least(round_even((pairs + {Z_95} * sqrt((n * (n - 1.0) * (2 * n + 5) - ties) / 18)) / 2, 0), pairs - 1)""".replace(
     "numbered", "(SELECT *, row_number() OVER (PARTITION BY direction, reporter ORDER BY slope) - 1 AS at FROM slopes)"
 ).replace(
     "slopes",

@@ -1,7 +1,9 @@
 import math
 import random
+import re
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,10 +16,12 @@ from portolan.operators import (
     flowgraph,
     partners,
     products as goods,
+    ranks,
     timeseries,
     totals,
 )
 from portolan.operators.quantiles import exact_quantiles
+from portolan.plans import catalog
 from tests import golden
 
 
@@ -177,10 +181,68 @@ def test_growth_compares_listed_years_and_survives_zero(flows, as_rows):
     assert [r["growth_pct"] for r in as_rows(timeseries.growth(df, 50, "own"), "t")] == [None, None, 50.0]
 
 
-def test_t_points_beyond_the_table(spark):
-    df = spark.createDataFrame([(1,), (27,), (40,), (120,)], "d int")
+def inside_t(t, df, steps=20_000):
+    """Probability between -t and t by Simpson's rule over the angle of the distribution."""
+    peak = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+    end = math.atan(t / math.sqrt(df))
+    y = np.cos(np.linspace(0, end, steps + 1)) ** (df - 1)
+    return 2 * peak * end / steps / 3 * (y[0] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum() + y[-1])
+
+
+def test_t_points_at_any_degrees_of_freedom(spark):
+    degrees = [*range(1, 34), 40, 119, 120, 1000, 2501]
+    df = spark.createDataFrame([(d,) for d in [*degrees, 0, -3]], "d long")
     got = [r[0] for r in df.select(timeseries.t_critical(F.col("d"))).collect()]
-    assert got == pytest.approx([12.7062, 2.0518, 2.02108, 1.97993], abs=1e-4)
+    assert got[len(degrees):] == [None, None]
+    assert got[:30] == pytest.approx(catalog.T_95, abs=1e-8)
+    assert [inside_t(t, d) for t, d in zip(got, degrees)] == pytest.approx([0.95] * len(degrees), abs=1e-11)
+    assert [got[degrees.index(d)] for d in (31, 40, 120)] == pytest.approx([2.0395134464, 2.0210753903, 1.9799304051], abs=1e-8)
+
+
+@pytest.mark.parametrize("n, block", [(2500, 256), (7, 2), (2, 256)])
+def test_trend_of_a_long_series(spark, as_rows, monkeypatch, n, block):
+    monkeypatch.setattr(timeseries, "BLOCK", block)
+    r = np.random.default_rng(n)
+    t, v = np.arange(n) * 2 - 700, np.round(np.arange(n) * 0.3 + r.normal(size=n) * 40, 1)
+    rows = [("export", 7, int(a), float(b)) for a, b in zip(t, v)] + [("import", 7, 1, 5.0), ("import", 8, 1, 5.0), ("import", 8, 3, 4.0), ("import", 9, 3, None)]
+    got = {(x["direction"], x["reporter"]): x for x in as_rows(timeseries.trend_of(spark.createDataFrame(rows, "direction string, reporter int, t int, v double")))}
+    assert set(got) == {("export", 7), ("import", 8)}
+    i, j = np.triu_indices(n, 1)
+    slopes = np.sort((v[j] - v[i]) / (t[j] - t[i]))
+    c = np.unique(v, return_counts=True)[1].astype(float)
+    sigma = math.sqrt((n * (n - 1.0) * (2 * n + 5) - (c * (c - 1) * (2 * c + 5)).sum()) / 18)
+    low, high = (max(round((len(slopes) - 1.959963984540054 * sigma) / 2) - 1, 0), min(round((len(slopes) + 1.959963984540054 * sigma) / 2), len(slopes) - 1))
+    mine = got["export", 7]
+    assert (mine["n"], mine["slope"], mine["slope_low"], mine["slope_high"]) == pytest.approx((n, np.median(slopes), slopes[low], slopes[high]))
+    assert mine["intercept"] == pytest.approx(np.median(v) - np.median(slopes) * np.median(t))
+
+
+def test_places_without_one_task(spark):
+    r = np.random.default_rng(1)
+    values = [(int(k), float(x)) for k, x in enumerate(r.integers(0, 50, 997))]
+    df = spark.createDataFrame(values, "k int, x double").repartition(13)
+    found = ranks.ordered(df, [F.desc("x"), F.asc("k")])
+    order = sorted(values, key=lambda p: (-p[1], p[0]))
+    assert found.size == 997
+    assert [(p["k"], p["place"]) for p in found.rows.orderBy("place").collect()] == [(k, i + 1) for i, (k, _) in enumerate(order)]
+    odd = found.only(F.col("k") % 2 == 1)
+    assert [(p["k"], p["place"]) for p in odd.rows.orderBy("place").collect()] == [(k, i + 1) for i, k in enumerate(k for k, _ in order if k % 2)]
+    for o in (found, odd, odd.only(F.col("k") < 9), odd.only(F.col("k") < 4)):
+        xs = [p["x"] for p in o.rows.collect()]
+        assert df.select(o.median("x")).first()[0] == pytest.approx(float(np.median(xs)))
+    empty = found.only(F.lit(False))
+    assert empty.size == 0 and empty.rows.collect() == [] and df.select(empty.median("x")).first()[0] is None
+
+
+def test_ranks_need_no_window_over_everything(spark, flows):
+    r = random.Random(5)
+    df = flows([(2020, r.randrange(6), r.randrange(6), r.randrange(10000, 10040), r.random() * 100, 1) for _ in range(200)])
+    for found in (
+        complexity.product_opportunities(df), complexity.product_opportunities(df, focal=3), complexity.opportunity_counts(df),
+        complexity.economic_complexity(df), complexity.economic_complexity(df, 3),
+    ):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"windowspecdefinition\(\S+ (ASC|DESC)", plan)  # a window whose first column is its order
 
 
 def test_lifecycle_forms(flows, as_rows):

@@ -17,7 +17,7 @@ PLANS = {
     "balance_by_partner": (lambda f, c, p, x: partners.balance_by_partner(f, c, 30, x), "i,j,v"),
     "concentration": (lambda f, c, p, x: concentration.concentration(f, x), "i,j,k,v"),
     "correlations": (lambda f, c, p, x: distribution.correlations(f, x), "i,j,k,v,q"),
-    "trend": (lambda f, c, p, x: timeseries.trend(f, x), "t,i,j,v"),
+    "series": (lambda f, c, p, x: timeseries.series(f, x), "t,i,j,v"),
     "emerging_partners": (lambda f, c, p, x: partners.emerging_partners(f, c, focal=x), "t,i,j,v"),
 }
 WORLD = {
