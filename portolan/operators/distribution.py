@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from portolan.functions.codes import hs2
 from portolan.functions.numeric import jarque_bera, unit_value
 from portolan.operators.directional import SIDE, sides
-from portolan.operators.quantiles import exact_quantiles
+from portolan.operators.quantiles import moments, quantiles_of, summaries
 
 MEASURES = ("v", "q", "unit_value", "hs2")
 
@@ -21,18 +21,10 @@ def value_distribution(flows: DataFrame, focal: int | None = None, scale: float
     """
     x = F.col("v").cast("double")
     ends = sides(flows, focal).select(*SIDE, (x if scale == 1 else x * float(scale)).alias("x"))
-    moments = ends.groupBy(*SIDE).agg(
-        F.count("x").alias("records"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
-        F.skewness("x").alias("skewness"),
-        F.kurtosis("x").alias("kurtosis"),
-    )
-    quartiles = exact_quantiles(ends, SIDE, "x", (0.25, 0.5, 0.75))
+    buckets = summaries(ends, SIDE, "x")
+    quartiles = quantiles_of(buckets, ends, SIDE, "x", (0.25, 0.5, 0.75))
     return (
-        moments.join(quartiles, list(SIDE))
+        moments(buckets, SIDE).join(quartiles, list(SIDE))
         .withColumn("jarque_bera", jarque_bera(F.col("records"), F.col("skewness"), F.col("kurtosis")))
         .select(
             *SIDE, "records", "mean", "std", "min",

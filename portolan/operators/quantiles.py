@@ -1,15 +1,14 @@
-"""Exact quantiles of raw values without shuffling or gathering them.
+"""Moments and exact quantiles of raw values in two reads, without gathering them.
 
 The built-in exact percentile keeps every distinct value of a group in one
 aggregation buffer, which fails when a single reporter owns a large part of the
-flows.  Here the wanted ranks are located in narrowing passes over the values:
-
-1. count them in logarithmic buckets,
-2. count the buckets that hold a wanted rank in equal slices,
-3. order only the values of the slices that hold one.
-
-The counts of the first two passes combine before the shuffle, and the third
-pass moves a few slices per group, so the values themselves stay where they are.
+flows.  Here a first read counts the values in logarithmic buckets, each with its
+ends and central moments. Buckets add up to the moments of a group, and tell which
+of them hold a wanted rank. A second read takes the values of these few buckets,
+each distinct one once with its count, and writes them; equal slices of a bucket
+are counted there, and only the values of the slices that hold a wanted rank are
+put in order. All counts combine before a shuffle, and a bucket or slice that holds
+many values is spread over tasks by its values.
 """
 
 from __future__ import annotations
@@ -20,14 +19,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portolan.plans.session import settled
+from portolan.plans.session import settled, written
 
 BUCKETS_PER_OCTAVE = 64
 SLICES = 1024
 
-# A located part is about a hundred bytes; beyond this many they are joined, not sent.
-SENT_PARTS = 100_000
-
 
 def _log_bucket(x: Column) -> Column:
     """Integer that never decreases as ``x`` grows; about 1 % relative width."""
@@ -51,61 +47,85 @@ def _located(parts: DataFrame, inside: Sequence[str], order: str, wanted: Column
     )
 
 
-def _meet(values: DataFrame, parts: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Values that fall into the located parts; few parts are sent to every task."""
-    few = parts.count() <= SENT_PARTS
-    return values.join(F.broadcast(parts) if few else parts, list(on))
+def summaries(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """One row per group and bucket of values: n, low, high, and mean and central power sums m2 to m4.
 
-
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]
-) -> DataFrame:
-    """Linearly interpolated quantiles per group: ``by`` columns and ``quantiles`` array.
-
-    The first two passes run when this is called; their results, a few rows per
-    group, are written to the checkpoint folder.
+    This is the only pass over all values; its result is as long as there are
+    buckets, and is written.
     """
     by = list(by)
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, value)])
-    values = (
+    n, m2 = F.col("n"), F.col("m2")
+    return written(
         df.filter(known)
         .select(*by, F.col(value).cast("double").alias("x"))
-        .withColumn("bucket", _log_bucket(F.col("x")))
+        .groupBy(*by, _log_bucket(F.col("x")).alias("bucket"))
+        .agg(
+            F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"),
+            F.var_pop("x").alias("_variance"), F.skewness("x").alias("_skewness"), F.kurtosis("x").alias("_kurtosis"),
+        )
+        .withColumn("m2", n * F.col("_variance"))
+        .withColumns(
+            {
+                # a bucket of equal values has neither
+                "m3": F.coalesce(F.col("_skewness"), F.lit(0.0)) * m2 * F.sqrt(F.col("_variance")),
+                "m4": F.coalesce((F.col("_kurtosis") + 3) * m2 * F.col("_variance"), F.lit(0.0)),
+            }
+        )
+        .select(*by, "bucket", "n", "low", "high", "mean", "m2", "m3", "m4")
+    )
+
+
+def moments(buckets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """records, mean, std, min, max, skewness and kurtosis of every group from its buckets."""
+    by = list(by)
+    whole = buckets.groupBy(*by).agg(
+        F.sum("n").alias("records"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"), F.min("low").alias("min"), F.max("high").alias("max")
+    )
+    n, m2, m3, m4 = (F.col(c) for c in ("n", "m2", "m3", "m4"))
+    d = F.col("mean") - F.col("_mean")
+    merged = buckets.join(whole, by).groupBy(*by, "records", "min", "max", F.col("_mean").alias("mean")).agg(
+        F.sum(m2 + n * d * d).alias("_2"),
+        F.sum(m3 + 3 * d * m2 + n * d * d * d).alias("_3"),
+        F.sum(m4 + 4 * d * m3 + 6 * d * d * m2 + n * d * d * d * d).alias("_4"),
+    )
+    size = F.col("records")
+    return merged.select(
+        *by, "records", "mean", F.sqrt(F.try_divide("_2", size - 1)).alias("std"), "min", "max",
+        F.try_divide(F.sqrt(size) * F.col("_3"), F.pow("_2", F.lit(1.5))).alias("skewness"),
+        (F.try_divide(size * F.col("_4"), F.col("_2") * F.col("_2")) - 3).alias("kurtosis"),
     )
+
+
+def quantiles_of(buckets: DataFrame, df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """Linearly interpolated quantiles per group: ``by`` columns and ``quantiles`` array, from ``summaries`` of the same values.
+
+    The read of the located buckets runs when this is called.
+    """
+    by = list(by)
     positions = [F.lit(float(p)) * (F.col("size") - 1) for p in probabilities]
     ranks = F.array_distinct(F.array(*[f(p).cast("bigint") for p in positions for f in (F.floor, F.ceil)]))
     inner = F.collect_set(F.col("rank") - F.col("before"))
 
-    buckets = (
-        values.groupBy(*by, "bucket")
-        .agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-        .withColumn("size", F.sum("n").over(Window.partitionBy(*by)))
-    )
-    in_bucket = settled(
-        _located(buckets, by, "bucket", ranks)
+    counted = buckets.select(*by, "bucket", "n", "low", "high").withColumn("size", F.sum("n").over(Window.partitionBy(*by)))
+    in_bucket = written(
+        _located(counted, by, "bucket", ranks)
         .groupBy(*by, "bucket", "low", "high", "size", F.col("before").alias("base"))
         .agg(inner.alias("ranks"))
     )
-
-    place = _slice(F.col("x"), F.col("low"), F.col("high"))
-    slices = (
-        _meet(values, in_bucket, [*by, "bucket"])
-        .groupBy(*by, "bucket", place.alias("slice"))
-        .agg(F.count("*").alias("n"))
-        .join(in_bucket, [*by, "bucket"])
+    # a few buckets per group: the planner knows the size of the written table and picks the join by it
+    values = df.select(*by, F.col(value).cast("double").alias("x")).withColumn("bucket", _log_bucket(F.col("x")))
+    inside = settled(
+        values.join(in_bucket.select(*by, "bucket", "low", "high"), [*by, "bucket"])
+        .groupBy(*by, "bucket", _slice(F.col("x"), F.col("low"), F.col("high")).alias("slice"), "x").agg(F.count("*").alias("n"))
     )
-    in_slice = settled(
+    slices = inside.groupBy(*by, "bucket", "slice").agg(F.sum("n").alias("n")).join(in_bucket, [*by, "bucket"])
+    in_slice = (
         _located(slices, [*by, "bucket"], "slice", F.col("ranks"))
-        .groupBy(*by, "bucket", "slice", "low", "high", "size", (F.col("base") + F.col("before")).alias("base"))
+        .groupBy(*by, "bucket", "slice", "size", (F.col("base") + F.col("before")).alias("base"))
         .agg(inner.alias("ranks"))
     )
-
-    ordered = (
-        _meet(values, in_slice, [*by, "bucket"])
-        .filter(place == F.col("slice"))
-        .groupBy(*by, "size", "base", "x", "ranks")
-        .agg(F.count("*").alias("n"))
-    )
+    ordered = inside.join(in_slice, [*by, "bucket", "slice"])
     found = _located(ordered, [*by, "base"], "x", F.col("ranks")).groupBy(*by).agg(
         F.map_from_entries(F.collect_set(F.struct(F.col("base") + F.col("rank"), "x"))).alias("at"),
         F.max("size").alias("size"),
@@ -117,3 +137,8 @@ def exact_quantiles(
         return low + (high - low) * (p - F.floor(p))
 
     return found.select(*by, F.array(*[interpolated(p) for p in positions]).alias("quantiles"))
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """Linearly interpolated quantiles per group: ``by`` columns and ``quantiles`` array."""
+    return quantiles_of(summaries(df, by, value), df, by, value, probabilities)

@@ -16,6 +16,7 @@ from portolan.operators import (
     flowgraph,
     partners,
     products as goods,
+    quantiles,
     ranks,
     timeseries,
     totals,
@@ -243,7 +244,7 @@ def test_ranks_need_no_window_over_everything(spark, flows):
     ):
         plan = found._jdf.queryExecution().executedPlan().toString()
         # a window whose first column is its order, unless every task only sends its first n rows
-        assert not re.search(r"windowspecdefinition\(\S+ (ASC|DESC)", plan) or "WindowGroupLimit" in plan
+        assert not re.search(r"windowspecdefinition\(\S+ (ASC|DESC)", plan) or "TakeOrderedAndProject" in plan
 
 
 def test_lifecycle_forms(flows, as_rows):
@@ -356,3 +357,36 @@ def test_histogram_covers_everything(spark, as_rows):
     assert sum(r["n"] for r in got) == 6 and got[-1]["bin"] == 4 and got[-1]["n"] == 2
     flat = spark.createDataFrame([(2.0,), (2.0,)], "x double")
     assert [r["n"] for r in as_rows(distribution.histogram(flat, "x", 5))] == [2]
+
+
+def test_moments_from_buckets(spark, as_rows):
+    """Moments of groups whose values lie far from zero, spread over signs, or are all one value."""
+    r = np.random.default_rng(8)
+    groups = {1: r.lognormal(3, 2, 4000), 2: r.normal(0, 1, 500), 3: 1e9 + r.normal(size=300), 4: np.full(7, 3.5), 5: np.array([2.0]), 6: np.array([-1.0, 1.0, 0.0, 0.0])}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [(1, None), (7, None)], "g int, x double").repartition(9)
+    got = {m["g"]: m for m in as_rows(quantiles.moments(quantiles.summaries(df, ["g"], "x"), ["g"]))}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        d = xs - xs.mean()
+        m2, m3, m4 = ((d**p).mean() for p in (2, 3, 4))
+        assert (got[g]["records"], got[g]["min"], got[g]["max"]) == (len(xs), xs.min(), xs.max())
+        assert got[g]["mean"] == pytest.approx(xs.mean(), rel=1e-12)
+        assert got[g]["std"] == (pytest.approx(xs.std(ddof=1), rel=1e-6) if len(xs) > 1 else None)
+        assert got[g]["skewness"] == (pytest.approx(m3 / m2**1.5, rel=1e-5, abs=1e-6) if m2 else None)
+        assert got[g]["kurtosis"] == (pytest.approx(m4 / m2**2 - 3, rel=1e-5, abs=1e-6) if m2 else None)
+
+
+def test_quantiles_read_values_twice(spark, flows, tmp_path):
+    """Once for the buckets and once for the located ones; what follows reads written tables."""
+    path = str(tmp_path / "flows")
+    flows([(2020, i % 5, i % 7, 10000 + i, i * 1.5, 1) for i in range(300)]).write.parquet(path)
+    df = spark.read.parquet(path)
+    plan = distribution.value_distribution(df)._jdf.queryExecution().executedPlan().toString()
+    assert path not in plan
+
+
+@pytest.mark.parametrize("focal", [None, 3])
+def test_one_value_may_hold_most_rows(spark, as_rows, focal):
+    df = spark.createDataFrame([(2020, 3, 1, 10000, v, 1.0) for v in [5.0] * 5000 + [1.0, 2.0, 9.0]], "t int, i int, j int, k int, v double, q double")
+    row = next(r for r in as_rows(distribution.value_distribution(df, focal)) if r["direction"] == "export")
+    assert (row["records"], row["min"], row["p25"], row["p50"], row["p75"], row["max"]) == (5003, 1.0, 5.0, 5.0, 5.0, 9.0)
