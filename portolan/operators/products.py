@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,15 +113,16 @@ def product_market_matrix(
     )
 
 
-def product_market_pivot(matrix: DataFrame) -> DataFrame:
-    """Wide form of one reporter's matrix: a column per market, empty cells 0.
+def product_market_pivot(matrix: DataFrame, markets: Sequence[int]) -> DataFrame:
+    """Wide form of a matrix: one row per reporter and product, one column per listed market code.
 
-    The columns are the markets present, at most ``n_markets`` of them.
+    Cells are the mean over the rows of the matrix, as in the published table, and
+    0 where there are none. The list of markets makes the columns known before
+    anything runs.
     """
     return (
-        matrix.withColumn("market", F.concat_ws(" ", F.col("partner").cast("string"), "partner_name"))
-        .groupBy("product", "description")
-        .pivot("market")
+        matrix.groupBy("reporter", "product", "description")
+        .pivot("partner", list(markets))
         .agg(F.avg("value_usd"))
-        .na.fill(0.0)
+        .na.fill(0.0, [str(m) for m in markets])
     )

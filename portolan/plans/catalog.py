@@ -7,6 +7,7 @@ registered twice: under their name for the focal reporter and with the suffix
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
@@ -29,6 +30,7 @@ from portolan.operators import (
     totals,
 )
 from portolan.plans import reports
+from portolan.plans.session import shared_folder
 from portolan.plans.shape import shaped, shaped_sql
 from portolan.sources import readers, star
 from portolan.sources.readers import TradeData
@@ -383,6 +385,22 @@ def _partial_countries(data: TradeData) -> DataFrame:
 PARTIAL_SQL = f"(SELECT * FROM countries WHERE country_code <> {UNLISTED})"
 
 
+MARKETS = tuple(range(25))
+
+MATRIX = f"""SELECT x.reporter, x.k AS product, description, x.partner, country_name AS partner_name, CAST(sum(x.v) AS DOUBLE) * 1000 AS value_usd
+FROM x JOIN products ON hs6 = code JOIN countries ON x.partner = country_code
+JOIN ({_ranked('SELECT reporter, k, sum(v) AS s FROM x GROUP BY reporter, k', 'reporter', 's DESC, k', 10)}) a
+  ON a.reporter = x.reporter AND a.k = x.k
+JOIN ({_ranked('SELECT reporter, partner, sum(v) AS s FROM x GROUP BY reporter, partner', 'reporter', 's DESC, partner', 15)}) b
+  ON b.reporter = x.reporter AND b.partner = x.partner
+GROUP BY x.reporter, x.k, description, x.partner, country_name"""
+
+
+def _market_pivot(data: TradeData, focal: int | None) -> DataFrame:
+    wide = products.product_market_pivot(products.product_market_matrix(data.flows, data.countries, data.products, focal=focal), MARKETS)
+    return wide.select("reporter", "product", "description", *[F.col(str(m)).alias(f"m{m}") for m in MARKETS])
+
+
 ANALYSES: dict[str, Query] = {
     "trade_direction": Query(
         lambda d, f: totals.trade_direction(d.flows, f),
@@ -582,13 +600,14 @@ FROM ({LEADING_PRODUCTS}) p JOIN (
     "product_market_matrix": Query(
         lambda d, f: products.product_market_matrix(d.flows, d.countries, d.products, focal=f),
         "reporter:int product:int description:str partner:int partner_name:str value_usd:num2",
-        f"""SELECT x.reporter, x.k AS product, description, x.partner, country_name AS partner_name, CAST(sum(x.v) AS DOUBLE) * 1000 AS value_usd
-FROM x JOIN products ON hs6 = code JOIN countries ON x.partner = country_code
-JOIN ({_ranked('SELECT reporter, k, sum(v) AS s FROM x GROUP BY reporter, k', 'reporter', 's DESC, k', 10)}) a
-  ON a.reporter = x.reporter AND a.k = x.k
-JOIN ({_ranked('SELECT reporter, partner, sum(v) AS s FROM x GROUP BY reporter, partner', 'reporter', 's DESC, partner', 15)}) b
-  ON b.reporter = x.reporter AND b.partner = x.partner
-GROUP BY x.reporter, x.k, description, x.partner, country_name""",
+        MATRIX,
+    ),
+    "product_market_pivot": Query(
+        _market_pivot,
+        "reporter:int product:int description:str " + " ".join(f"m{m}:num2" for m in MARKETS),
+        f"SELECT reporter, product, description, "
+        + ", ".join(f"coalesce(avg(CASE WHEN partner = {m} THEN value_usd END), 0) AS m{m}" for m in MARKETS)
+        + f" FROM ({MATRIX}) m GROUP BY reporter, product, description",
     ),
     "balance_by_partner": Query(
         lambda d, f: partners.balance_by_partner(d.flows, d.countries, 30, f),
@@ -1045,7 +1064,32 @@ JOIN ({_silhouette_sql('SELECT reporter, 0 AS labelling, partner, cluster FROM c
     ),
 }
 
+def _section_counts_sql() -> str:
+    """Rows of every section per reporter, from the SQL of the analyses behind them."""
+    bodies = {
+        "metadata": PROFILES["run_metadata"].sql, "summary_statistics": KPIS, "value_distribution": DISTRIBUTION, "concentration": CONCENTRATION,
+        "correlations": ANALYSES["correlations"].sql, "yearly": YEARLY, "balance_openness": ANALYSES["balance_openness"].sql,
+        "growth_stats": GROWTH_STATS, "trend": TREND, "market_penetration": ANALYSES["mean_penetration"].sql,
+        **{name: ANALYSES[name].sql for name in (
+            "export_share_latest", "trade_intensity", "export_complexity", "economic_complexity", "opportunity_counts", "product_opportunities")},
+        "product_penetration": ANALYSES["market_penetration"].sql,
+        "partner_segments": POINTS.format(scaled="1 AS one"),
+        "kmeans_scores": SEGMENTS["kmeans_properties"].sql,
+        "density_summary": f"SELECT DISTINCT reporter FROM ({POINTS.format(scaled='1 AS one')}) p",
+        "component_variance": f"SELECT DISTINCT reporter, c FROM ({POINTS.format(scaled='1 AS one')}) p CROSS JOIN range(3) r(c)",
+    }
+    counts = [f"SELECT '{name}' AS section, reporter, count(*) AS rows FROM ({body}) s GROUP BY reporter" for name, body in bodies.items()]
+    return "\nUNION ALL\n".join([*counts, f"SELECT 'product_complexity' AS section, NULL AS reporter, count(*) AS rows FROM ({UBIQUITY}) s"])
+
+
+def _result_manifest(data: TradeData, focal: int | None) -> DataFrame:
+    """Rows of every section in the files; the centres are left to ``kmeans_scores``, whose chosen k they have."""
+    folder = f"{shared_folder(data.flows.sparkSession).rstrip('/')}/results-{uuid.uuid4().hex}"
+    return reports.write_results(data, folder, focal).filter(F.col("section") != "kmeans_centers")
+
+
 DOCUMENTS: dict[str, Query] = {
+    "result_manifest": Query(_result_manifest, "reporter:int section:str rows:long", _section_counts_sql(), both=False),
     # Values read back out of the JSON text.
     "result_document": Query(
         lambda d, f: reports.json_results(d, f).select(

@@ -25,9 +25,9 @@ from portolan.operators import (
     timeseries,
     totals,
 )
-from portolan.plans.session import settled
+from portolan.plans.session import settled, written
 from portolan.schema import RECENT_YEARS
-from portolan.sinks import result_document, write_tables
+from portolan.sinks import result_document, write_sections, write_tables
 from portolan.sources.readers import TradeData, prepared_flows
 
 Tables = dict[str, DataFrame]
@@ -72,35 +72,76 @@ def deep_report(data: TradeData, focal: int) -> Tables:
     }
 
 
-def statistics_sections(data: TradeData, focal: int | None = None) -> Tables:
+def flow_cube(flows: DataFrame) -> DataFrame:
+    """Value and quantity per (t, i, j, k), written once for the analyses that only add flows up.
+
+    Sums over it and distinct counts of its codes equal those over the flows;
+    counts and spreads of flows do not.
+    """
+    return written(flows.groupBy("t", "i", "j", "k").agg(F.sum("v").alias("v"), F.sum("q").alias("q")))
+
+
+def statistics_sections(data: TradeData, focal: int | None = None, cube: DataFrame | None = None) -> Tables:
     """The statistical and complexity results that carry a reporter.
 
-    The yearly totals behind four of them are computed once, when this is called.
+    Sections about sums read one stored cube; only those about single flows read
+    the flows. The cube, unless given, and the yearly totals are computed when this
+    is called.
     """
     f = data.flows
-    years = settled(totals.yearly_counts(f, focal))
+    cube = flow_cube(f) if cube is None else cube
+    years = settled(totals.yearly_counts(cube, focal))
     both = totals.on_years(years, "both")
     series = timeseries.series_of(both)
     return {
         "metadata": totals.run_metadata(f, focal),
-        "summary_statistics": totals.summary_kpis(f, focal),
+        "summary_statistics": totals.summary_kpis(cube, focal),
         "value_distribution": distribution.value_distribution(f, focal),
-        "concentration": concentration.concentration(f, focal),
+        "concentration": concentration.concentration(cube, focal),
         "correlations": distribution.correlations(f, focal),
         "yearly": totals.on_years(years, "union"),
         "balance_openness": timeseries.balance_openness_of(both),
         "growth_stats": timeseries.growth_stats_of(series),
         "trend": timeseries.trend_of(series),
-        "export_share_latest": timeseries.export_share_latest(f, focal=focal),
+        "export_share_latest": timeseries.export_share_latest(cube, focal=focal),
         "trade_intensity": products.trade_intensity(f, focal=focal),
         "export_complexity": complexity.export_complexity(f, focal),
-        "economic_complexity": complexity.economic_complexity(f, focal),
-        "market_penetration": complexity.mean_penetration(f, focal),
-        "opportunity_counts": complexity.opportunity_counts(f, focal=focal),
-        "product_opportunities": complexity.product_opportunities(f, focal=focal),
+        "economic_complexity": complexity.economic_complexity(cube, focal),
+        "market_penetration": complexity.mean_penetration(cube, focal),
+        "opportunity_counts": complexity.opportunity_counts(cube, focal=focal),
+        "product_opportunities": complexity.product_opportunities(cube, focal=focal),
     }
 
 
+def result_sections(data: TradeData, focal: int | None = None) -> Tables:
+    """All results: the statistics, every product's penetration and ubiquity, and the segmentation.
+
+    ``product_complexity`` is about the world and has no reporter.
+    """
+    cube = flow_cube(data.flows)
+    found = segments.partner_segments(cube, data.countries, focal)
+    return {
+        **statistics_sections(data, focal, cube),
+        "product_penetration": complexity.market_penetration(cube, focal),
+        "product_complexity": complexity.product_ubiquity(cube),
+        "partner_segments": found.partners,
+        "kmeans_scores": found.sweep,
+        "kmeans_centers": found.centers,
+        "density_summary": found.density,
+        "component_variance": found.variance,
+    }
+
+
+def write_results(data: TradeData, folder: str, focal: int | None = None) -> DataFrame:
+    """Writes all results below ``folder`` and returns the manifest read back from them.
+
+    Lists of any length are section tables, in a folder per reporter; the document
+    of a reporter (``documents``) holds its metadata and key figures and names the
+    sections with their rows, so that it stays small.
+    """
+    return write_sections(result_sections(data, focal), folder, inline=("metadata", "summary_statistics"))
+
+
 def enhanced_report(data: TradeData, focal: int) -> Tables:
     """All statistics, segmentation and charts; pass flows that went through ``clean``."""
     f, c, _ = data

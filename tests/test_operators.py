@@ -345,10 +345,10 @@ def test_flow_graph_ids(flows, countries, as_rows):
 
 
 def test_product_market_pivot(flows, countries, products, as_rows):
-    df = flows([(2020, 50, 1, 10100, 5, 1), (2020, 50, 2, 20200, 9, 1)])
-    matrix = goods.product_market_matrix(df, countries([(1, "A", "A"), (2, "B", "B")]), products([("010100", "x"), ("020200", "y")]), focal=50)
-    wide = as_rows(goods.product_market_pivot(matrix), "product")
-    assert [(r["1 A"], r["2 B"]) for r in wide] == [(5000.0, 0.0), (0.0, 9000.0)]
+    df = flows([(2020, 50, 1, 10100, 5, 1), (2020, 50, 2, 20200, 9, 1), (2020, 51, 2, 20200, 7, 1)])
+    matrix = goods.product_market_matrix(df, countries([(1, "A", "A"), (2, "B", "B")]), products([("010100", "x"), ("020200", "y")]))
+    wide = as_rows(goods.product_market_pivot(matrix, [1, 2, 3]), "reporter", "product")
+    assert [(r["reporter"], r["product"], r["1"], r["2"], r["3"]) for r in wide] == [(50, 10100, 5000.0, 0.0, 0.0), (50, 20200, 0.0, 9000.0, 0.0), (51, 20200, 0.0, 7000.0, 0.0)]
 
 
 def test_histogram_covers_everything(spark, as_rows):

@@ -6,6 +6,7 @@ import pytest
 
 from portolan.operators import charts, competition, complexity, concentration, distribution, flowgraph
 from portolan.operators import partners, products as goods, quality, timeseries, totals
+from portolan.sources import star
 
 PLANS = {
     "trade_direction": (lambda f, c, p, x: totals.trade_direction(f, x), "i,j,v"),
@@ -82,3 +83,10 @@ def test_one_scan_serves_both_directions(tables):
 def test_top_lists_are_cut_before_the_shuffle(tables):
     for build in (PLANS["top_partners"][0], PLANS["top_products"][0]):
         assert "WindowGroupLimit" in plan(build(*tables, None))
+
+
+def test_reporter_filter_runs_before_parts_join(spark, sf_dir):
+    """In the flow view over the star tables the filter on both ends is part of a join below that of parts."""
+    text = star.flows(spark, sf_dir).filter("i = 18 OR j = 18").groupBy("k").count()._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in text.split("\n") if "Join Inner" in line]  # the outermost first
+    assert "l_partkey" in joins[0] and "18) OR" in joins[1] and "18) OR" not in joins[0]

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from portolan.plans import reports
-from portolan.sinks import result_document, write_json, write_tables
+from portolan.sinks import read_section, result_document, write_json, write_tables
 from portolan.sources.readers import TradeData
 
 
@@ -83,3 +83,39 @@ def test_enhanced_report(data):
     assert {"partner_segments", "flow_nodes", "trend", "risk_indicators"} <= set(tables)
     for name in ("partner_segments", "flow_links", "risk_indicators", "time_panel"):
         assert tables[name].count() > 0, name
+
+
+def test_whole_results_are_written_and_read_back(spark, data, tmp_path):
+    folder = str(tmp_path / "results")
+    manifest = reports.write_results(data, folder).collect()
+    rows = {(m["reporter"], m["section"]): m["rows"] for m in manifest}
+    sections = reports.result_sections(data)
+    assert {s for _, s in rows} == set(sections) - {"product_opportunities"}  # this one is empty here
+    assert {s for r, s in rows if r is None} == {"product_complexity"}
+    for name in ("partner_segments", "product_penetration", "product_complexity", "kmeans_scores", "trend", "correlations", "metadata"):
+        schema = sections[name].schema
+        back = read_section(spark, folder, name, schema)
+        assert back.count() == sections[name].count() == sum(n for (_, s), n in rows.items() if s == name), name
+    # values survive the way through the files
+    key = ["reporter", "product"]
+    first, again = (sorted(map(tuple, d.select(*key, "markets", "penetration_rate").collect())) for d in (sections["product_penetration"], read_section(spark, folder, "product_penetration", sections["product_penetration"].schema)))
+    assert first == again
+    documents = {d["reporter"]: json.loads(d["document"]) for d in spark.read.parquet(f"{folder}/documents").collect()}
+    assert set(documents) == {r for r, _ in rows if r is not None}
+    doc = documents[50]
+    assert doc["metadata"][0]["total_records"] == data.flows.count() and doc["summary_statistics"][0]["export_products"] == 3
+    assert {s["section"]: s["rows"] for s in doc["sections"]} == {s: n for (r, s), n in rows.items() if r == 50}
+
+
+def test_sections_share_one_cube(spark, data, tmp_path):
+    """Sections about sums read the stored cube and not the flows; a cube changes no result."""
+    path = str(tmp_path / "flows")
+    data.flows.write.parquet(path)
+    stored = data._replace(flows=spark.read.parquet(path))
+    sections = reports.statistics_sections(stored)
+    plans = {n: d._jdf.queryExecution().executedPlan().toString() for n, d in sections.items()}
+    assert {n for n, p in plans.items() if path in p} == {"metadata", "correlations", "trade_intensity", "export_complexity"}
+    whole = reports.statistics_sections(data, cube=data.flows)
+    for name in ("summary_statistics", "concentration", "yearly", "export_share_latest", "economic_complexity", "market_penetration", "product_opportunities"):
+        a, b = (sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d[name].collect()), key=repr) for d in (sections, whole))
+        assert a == b, name

@@ -115,3 +115,52 @@ def test_stored_flows_prune_years(spark, flows, tmp_path):
     assert back.select(*df.columns).exceptAll(df).isEmpty() and back.count() == 60
     text = back.filter("t = 2020")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(t" in text
+
+
+BAD = "t,i,j,k,v,q\n2020,50,842,610910,abc,2\n2020,50,842,30420,5000.5,x1\n2021,842,50,520100,7000,NA\n2021.0,842,50,520100,-,\n20x,842,50,99999999999,8000,1\n"
+
+
+def test_unreadable_cells_are_counted_and_raise(spark, folder, as_rows):
+    good = paths(folder)
+    bad = str(folder / "bad.csv")
+    (folder / "bad.csv").write_text(BAD)
+    rows = readers.read_with_rejects(spark, bad)
+    report = {r["column_name"]: r for r in as_rows(readers.reject_report(rows))}
+    assert {c: (r["records"], r["known"], r["unreadable"]) for c, r in report.items()} == {
+        "t": (5, 4, 1), "i": (5, 5, 0), "j": (5, 5, 0), "k": (5, 4, 1), "v": (5, 3, 2), "q": (5, 2, 1), "": (5, 0, 0),
+    }
+    assert report["v"]["example"] == "-" and report["k"]["example"] == "99999999999"
+    # unreadable cells stay NULL in rows that stay; a whole number may have a zero fraction
+    assert sorted((r["t"] or 0, r["v"]) for r in as_rows(readers.read_flows(spark, bad)) if r["v"] is not None) == [(0, 8000.0), (2020, 5000.5), (2021, 7000.0)]
+    assert sorted(r["t"] for r in as_rows(rows) if r["t"]) == [2020, 2020, 2021, 2021]
+    with pytest.raises(SourceError, match="5 unreadable cells, more than 0: 2 in v, for example '-'"):
+        load(spark, bad, *good[1:])
+    with pytest.raises(SourceError, match="more than 4"):
+        load(spark, bad, *good[1:], max_rejects=4)
+    assert load(spark, bad, *good[1:], max_rejects=5).flows.count() == 5
+    assert load(spark, bad, *good[1:], max_rejects=None).flows.count() == 5
+
+
+def test_a_text_column_is_not_numeric(spark, folder):
+    (folder / "text.csv").write_text("t,i,j,k,v,q\n2020,50,842,610910,low,2\n2020,50,842,30420,high,NA\n2020,50,842,30420,,1\n")
+    with pytest.raises(SourceError, match="not numeric: v, for example 'high'"):
+        load(spark, str(folder / "text.csv"), *paths(folder)[1:], max_rejects=100)
+
+
+def test_broken_records_are_rejects(spark, folder, as_rows):
+    (folder / "broken.csv").write_text("t,i,j,k,v,q\n2020,50,842,610910,1000,2\n2020,50\n2020,50,842,610910,1000,2,9\n")
+    report = {r["column_name"]: r["unreadable"] for r in as_rows(readers.reject_report(readers.read_with_rejects(spark, str(folder / "broken.csv"))))}
+    assert report == {"t": 0, "i": 0, "j": 0, "k": 0, "v": 0, "q": 0, "": 2}
+
+
+def test_ingest_counts_while_it_writes(spark, folder, as_rows):
+    bad, target = str(folder / "bad.csv"), str(folder / "stored")
+    (folder / "bad.csv").write_text(BAD)
+    report = {r["column_name"]: r["unreadable"] for r in as_rows(readers.ingest_flows(spark, bad, target, max_rejects=5))}
+    assert report == {"t": 1, "i": 0, "j": 0, "k": 1, "v": 2, "q": 1, "": 0}
+    assert spark.read.parquet(target).count() == 5
+    with pytest.raises(SourceError, match="5 unreadable cells, more than 0"):
+        readers.ingest_flows(spark, bad, target)
+    clean = as_rows(readers.ingest_flows(spark, paths(folder)[0], target))
+    assert {r["unreadable"] for r in clean} == {0} and {r["records"] for r in clean} == {4}
+    assert readers.read_with_rejects(spark, target).filter("size(_rejects) > 0").count() == 0
