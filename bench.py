@@ -24,6 +24,7 @@ HEADLINE = (
     "product_profile", "balance_by_partner", "risk_indicators", "density_clusters", "unmatched_references",
     "top_partners_all_reporters", "value_distribution_all_reporters", "concentration_all_reporters",
     "trend_all_reporters", "product_opportunities_all_reporters", "competitive_position_all_reporters",
+    "density_summary_all_reporters", "silhouette_of_labels", "kmeans_sweep", "partner_segments", "result_document",
 )
 
 

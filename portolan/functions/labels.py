@@ -45,6 +45,7 @@ def bar_colour(balance: Column) -> Column:
 def quadrant(reach: Column, share: Column, mid_reach: Column, mid_share: Column) -> Column:
     """Portfolio quadrant against the medians of reach and share."""
     wide, large = reach > mid_reach, share > mid_share
+    # Names of the published quadrants.
     return (
         F.when(wide & large, F.lit("Stars"))
         .when(large, F.lit("Cash Cows"))

@@ -93,10 +93,6 @@ def competitive_bubbles(flows: DataFrame, focal: int | None = None) -> DataFrame
     )
 
 
-def risk_radar(flows: DataFrame, focal: int | None = None) -> DataFrame:
-    return concentration.risk_indicators(flows, focal)
-
-
 def partner_bars(flows: DataFrame, countries: DataFrame, n: int = 10, focal: int | None = None) -> DataFrame:
     """Leading partners in billion USD."""
     return partners.partner_profile(flows, countries, n, focal).select(

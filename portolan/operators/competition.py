@@ -18,10 +18,10 @@ def leading_products(flows: DataFrame, n: int = 20, focal: int | None = None) ->
 def _exporter_values(flows: DataFrame, chosen: DataFrame, focal: int | None) -> DataFrame:
     """Value per (product, exporter); for one reporter only of the chosen products.
 
-    The chosen list then has at most ``n`` rows, so it can be sent to every task.
+    The flows shrink to these pairs before they meet the chosen list.
     """
     if focal is not None:
-        flows = flows.join(F.broadcast(chosen.select("k")), "k", "left_semi")
+        return flows.groupBy("k", "i").agg(F.sum("v").alias("v")).join(chosen.select("k"), "k", "left_semi")
     return flows.groupBy("k", "i").agg(F.sum("v").alias("v"))
 
 

@@ -57,6 +57,7 @@ def risk_indicators(flows: DataFrame, focal: int | None = None, top: int = 5, hs
         )
     )
     country = F.col("dimension") == "country"
+    # Names of the published indicators.
     return shares.select(
         "reporter",
         F.stack(

@@ -137,6 +137,7 @@ def summary_metrics(flows: DataFrame, focal: int | None = None) -> DataFrame:
     """The headline figures as a tall table (reporter, metric, value)."""
     kpis = summary_kpis(flows, focal)
     cells = []
+    # Names of the published metrics.
     for label, name in (
         ("Total Exports", "total_exports"),
         ("Total Imports", "total_imports"),
@@ -174,8 +175,3 @@ def data_overview(flows: DataFrame) -> DataFrame:
 def direction_totals(flows: DataFrame, focal: int | None = None) -> DataFrame:
     """Bar data: value per direction."""
     return sides(flows, focal).groupBy(*SIDE).agg(total("v").alias("value"))
-
-
-def export_totals(flows: DataFrame, focal: int | None = None) -> DataFrame:
-    """Total export value per reporter."""
-    return exports(flows, focal).groupBy("reporter").agg(total("v").alias("total_exports"))
