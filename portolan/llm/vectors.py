@@ -28,6 +28,8 @@ PER_BUCKET = 8
 #: Vectors in one block of a large bucket.
 BLOCK = 1024
 SEED = 20_051
+#: Largest components that need no scaling: squares and their sums stay within the doubles.
+PLAIN = (1e-100, 1e100)
 
 
 def plan_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -125,16 +127,20 @@ def near_vectors(
 
     Rows with equal vectors are linked and compared once. Vectors that are NULL,
     empty, zero or hold NULL or non-finite components link with nothing, nor do
-    vectors of different lengths. A NULL id is never the smallest; rows without
+    vectors of different lengths. Finite components of any size count. A NULL id is never the smallest; rows without
     any id in reach have component NULL and count as kept. Rows that share an id
     are separate rows. An empty table gives an empty result; other columns are
     not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    fit = F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce((squares > 0) & (squares < float("inf")), F.lit(False))
-    rows = rows.withColumn("v", F.when(fit, F.xxhash64("embedding")))
+    # squares of very large or very small components leave the doubles; the length of a vector does not matter
+    most = F.aggregate("embedding", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
+    fit = F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(most > 0, F.lit(False))
+    rows = rows.withColumn("most", F.when(fit, most))
+    scaled = F.transform("embedding", lambda x: x / F.col("most"))
+    rows = rows.withColumn("embedding", F.when(F.col("most").between(*PLAIN), F.col("embedding")).otherwise(scaled))
+    rows = rows.withColumn("v", F.when(F.col("most").isNotNull(), F.xxhash64("embedding")))
     distinct = settled(
         rows.filter("v IS NOT NULL").groupBy("v")
         .agg(F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))

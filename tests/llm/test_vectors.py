@@ -11,11 +11,18 @@ def brute(rows, threshold=0.95):
     ok = [i for i, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     n = len(rows)
     link = np.zeros((n, n), bool)
-    for i in ok:
-        for j in ok:
-            if i != j and len(rows[i][1]) == len(rows[j][1]):
-                a, b = np.array(rows[i][1], float), np.array(rows[j][1], float)
-                link[i, j] = a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= threshold or rows[i][1] == rows[j][1]
+    for size in {len(rows[i][1]) for i in ok}:
+        same = [i for i in ok if len(rows[i][1]) == size]
+        x = np.array([rows[i][1] for i in same], float)
+        x /= np.abs(x).max(axis=1)[:, None]
+        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        link[np.ix_(same, same)] = x @ x.T >= threshold
+        alike = {}
+        for i in same:
+            alike.setdefault(tuple(rows[i][1]), []).append(i)
+        for group in alike.values():
+            link[np.ix_(group, group)] = True
+    np.fill_diagonal(link, False)
     out = []
     for i in range(n):
         seen, todo = {i}, [i]
@@ -52,6 +59,30 @@ def test_odd_vectors(spark, monkeypatch, block):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_components_of_any_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [3e-200, 3e-200]), (5, [1.0, 1.0]), (6, [5e-324, 0.0])]
+    rows += [(7, [1e308, -1e308]), (8, [1e308, 1e-308]), (9, [0.0, 0.0]), (10, [1e308, 1e308])]
+    out = got(vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert out == brute(rows)
+    assert [(i, n, c) for i, n, c, _ in out if i in (1, 2, 3, 4, 5, 10)] == [(i, 5, 1) for i in (1, 10, 2, 3, 4, 5)]
+
+
+def test_near_pairs_of_the_table_equal_brute_force(spark, sf_dir):
+    """The given vectors hold no close pair; each gets partners at three distances here."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for r in table(spark, sf_dir, "embeddings").collect():
+        x = np.array(r.embedding, float)
+        rows.append((r.vec_id, x.tolist()))
+        for i, noise in enumerate((0.05, 0.2, 0.6)):
+            y = rng.standard_normal(len(x))
+            rows.append((100_000 * (i + 1) + r.vec_id, (x + noise * np.linalg.norm(x) / np.linalg.norm(y) * y).tolist()))
+    out = got(vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    want = brute(rows)
+    assert sum(n for _, n, _, _ in want) >= len(rows) // 4
+    assert out == want
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(2)
     a = rng.standard_normal((400, 32))
