@@ -125,7 +125,7 @@ def assess(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHA
     """Base figures and verdict of every row of ``docs`` (doc_id, text, source).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, n_lost_words (words in lines above the limits) and kept.
+    base_failed, kept and n_lost_words (words in lines above the limits).
     ``kept`` is false if the base rules fail, or if lines were removed and fewer
     than ``min_left`` words are left. A NULL text has no words and fails; a NULL
     source is a host of its own; rows that share host and text get the same
@@ -169,5 +169,5 @@ def _verdicts(docs: DataFrame, keep: list[str], max_docs: int, max_share: float,
     return rows.select(
         *keep, "doc_id", "figures.n_words", base["word_chars"].alias("word_chars"), base["n_symbols"].alias("n_symbols"),
         base["n_dup_lines"].alias("n_dup_lines"), "figures.n_repeat_words", base["base_failed"].alias("base_failed"),
-        F.col("lost").alias("n_lost_words"), (~base["base_failed"] & ~depleted).alias("kept"), text.alias("text"),
+        (~base["base_failed"] & ~depleted).alias("kept"), F.col("lost").alias("n_lost_words"), text.alias("text"),
     )

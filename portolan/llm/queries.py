@@ -101,7 +101,8 @@ facts AS (
          coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_lost_words
   FROM docs JOIN split USING (r) LEFT JOIN repeats USING (r) LEFT JOIN dups USING (r) LEFT JOIN lost USING (r)),
 judged AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM facts)
-SELECT *, NOT base_failed AND NOT (n_lost_words > 0 AND n_words - n_lost_words < {quality.MIN_LEFT}) AS kept FROM judged
+SELECT * EXCLUDE (n_lost_words), NOT base_failed AND NOT (n_lost_words > 0 AND n_words - n_lost_words < {quality.MIN_LEFT}) AS kept, n_lost_words
+FROM judged
 """
 
 OP10_SQL = f"""
