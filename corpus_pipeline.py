@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from portolan.llm import bpe, lines, mixing, probminhash, quality
@@ -47,22 +47,30 @@ def _written(docs: DataFrame) -> DataFrame:
     return docs if files and all(re.search(PART, f.rsplit("/", 1)[-1]) for f in files) else stored(docs)
 
 
-def _place() -> Column:
-    """Place of a row in the order in which its table was written; unlike the order of a scan it does not change."""
-    name = F.col("_metadata.file_name")
-    part, file = (F.regexp_extract(name, PART, i).cast("long") for i in (1, 2))
-    return F.shiftleft(part, 44) + F.shiftleft(file, 34) + F.col("_metadata.row_index")
+def _placed(docs: DataFrame) -> DataFrame:
+    """(position, doc_id, text): the number of each row, from 0, in the order in which its table was written.
+
+    Unlike the order of a scan it does not change. A row's number is its place in
+    its file and the rows of all files before; only the list of files is sorted.
+    """
+    rows = docs.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "doc_id", "text")
+    part, file = (F.regexp_extract("file", PART, i).cast("long") for i in (1, 2))
+    before = Window.orderBy(part, file, "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    # written, so that the planner knows how small it is
+    starts = stored(files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    return rows.join(starts, "file").select((F.col("start") + F.col("row")).alias("position"), "doc_id", "text")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and hashes of the ids and of the decoded bytes of each document, in the order of ``docs``."""
+    """Token counts and hashes of the ids and of the decoded bytes of each document, and its position in the order of ``docs``."""
     ranks = bpe.load_ranks(public_tokenizers.path(VOCABULARY))
-    docs = _written(docs)
-    # the encoder returns rows in no order; under their places they find their ids and their order again
-    texts = docs.select(_place().alias("doc_id"), "text")
-    ids = docs.select(_place().alias("place"), "doc_id")
-    found = bpe.digest(bpe.decode(bpe.encode(texts, ranks, public_tokenizers.PATTERN), ranks)).withColumnRenamed("doc_id", "place")
-    return ids.join(found, "place").orderBy("place").select("doc_id", *[c for c in found.columns if c != "place"])
+    placed = _placed(_written(docs))
+    # the encoder returns rows in no order; under their positions they find their ids and their order again
+    texts = placed.select(F.col("position").alias("doc_id"), "text")
+    found = bpe.digest(bpe.decode(bpe.encode(texts, ranks, public_tokenizers.PATTERN), ranks)).withColumnRenamed("doc_id", "position")
+    out = placed.select("position", "doc_id").join(found, "position").orderBy("position")
+    return out.select("doc_id", *[c for c in found.columns if c != "position"], "position")
 
 
 STAGES = [
@@ -80,7 +88,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written to the shared folder and read again by the next.
 
-    The rows come in the mixed order; no later stage loses it.
+    The rows come in the mixed order and carry their position in it, so that the
+    mix outlasts any join or new partitioning.
     """
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
