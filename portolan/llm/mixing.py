@@ -11,10 +11,6 @@ windows of every block, so nothing is rounded and no error adds up. One task run
 through the blocks, not the documents, with the sources in a heap and streams the
 slots out; every block finds its slot with a join. Documents are never gathered:
 they are numbered in their source with counts of hash buckets.
-
-``mix`` and ``mixed_order`` are the cheaper form in which the weights are rounded
-to whole slots of a repeated round; the queries use ``mix_exact`` and
-``mixed_order_exact``.
 """
 
 from __future__ import annotations
@@ -29,8 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of a round; grows by doubling if there are more sources than a quarter of it.
-SLOTS = 1024
 #: Documents in a block.
 BLOCK = 8
 #: Without given weights a source weighs its number of documents to this power.
@@ -50,19 +44,6 @@ def whole_ratios(weights: Mapping[str | None, float]) -> dict[str | None, int]:
     return {s: w // common for s, w in whole.items()}
 
 
-def whole_shares(weights: Mapping[str | None, float], slots: int) -> dict[str | None, int]:
-    """Slots of each source, at least one, adding up to ``slots``: largest remainders are rounded up."""
-    names = sorted(weights, key=lambda s: (s is None, s or ""))
-    total = sum(weights.values())
-    spare = slots - len(names)
-    exact = {s: weights[s] / total * spare for s in names}
-    share = {s: 1 + int(exact[s]) for s in names}
-    left = slots - sum(share.values())
-    for s in sorted(names, key=lambda s: int(exact[s]) - exact[s])[:left]:
-        share[s] += 1
-    return share
-
-
 def release(j: int, share: int, slots: int) -> int:
     """First slot of block ``j`` (from 1)."""
     return (j - 1) * slots // share
@@ -95,11 +76,6 @@ def placed_blocks(ratios: Mapping[str | None, int], blocks: Mapping[str | None,
         slot += 1
 
 
-def schedule(shares: Mapping[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
-    """One round: (source, block, slot, release, deadline), earliest deadline first."""
-    return list(placed_blocks(shares, shares))
-
-
 def _numbered(docs: DataFrame, block: int) -> DataFrame:
     """Adds the document's number in its source, in the order of a hash, and the source's block it falls in."""
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", "text")])
@@ -140,32 +116,6 @@ def mixed_order_exact(docs: DataFrame, weights: Mapping[str | None, float] | Non
     return _in_order(docs, lambda rows: _placed_exact(rows, weights, block))
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """Place of every row of ``docs`` (doc_id, text, source) in the mixed order.
-
-    Returns doc_id, source, block (of the source, from 0), release, deadline and
-    slot of the block, offset (place in the block), and share (slots of the source
-    per round). Sorted by slot and offset the sources follow these shares, which
-    are ``weights`` rounded to at least one slot, with less than one block of
-    deviation, as long as all have blocks left; a source that has run out leaves
-    its slots empty and the others keep their proportions.
-
-    ``weights`` needs a positive number for every source; without it a source
-    weighs its number of documents to the power ``TEMPER``. A NULL source is a
-    source of its own. No row is dropped or repeated; rows that share everything
-    take places of their own, in any order. NULL ids and texts are allowed. An
-    empty table gives an empty result. Only the table of sources reaches the
-    driver, so their number has to be small against memory, not the documents'.
-    """
-    rows = docs.select("doc_id", "text", "source")
-    return _placed(rows, weights, block, slots).select("doc_id", "source", "block", "release", "deadline", "slot", "offset", "share")
-
-
-def mixed_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """All rows and columns of ``docs``, sorted into the mixed order of ``mix``."""
-    return _in_order(docs, lambda rows: _placed(rows, weights, block, slots))
-
-
 def _in_order(docs: DataFrame, placed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     names = docs.columns
     rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
@@ -212,23 +162,3 @@ def _placed_exact(docs: DataFrame, weights: Mapping[str | None, float] | None, b
     schema = "name string, block long, slot long, release long, deadline long, share double"
     table = spark.range(1, numPartitions=1).mapInArrow(rows, schema).withColumn("s", F.xxhash64("name")).drop("name")
     return _numbered(docs, block).join(table, ["s", "block"]).withColumn("offset", (F.col("number") % block).cast("int"))
-
-
-def _placed(docs: DataFrame, weights: Mapping[str | None, float] | None, block: int, slots: int) -> DataFrame:
-    spark = docs.sparkSession
-    present = source_weights(docs.select("source"))
-    weights = _checked(present if weights is None else weights, present)
-    while slots < 4 * len(present):
-        slots *= 2
-    shares = whole_shares({s: weights[s] for s in present}, slots) if present else {}
-    round_ = [(s, shares[s], j - 1, slot, first, due) for s, j, slot, first, due in (schedule(shares) if shares else [])]
-    table = spark.createDataFrame(round_, "name string, share int, turn long, at long, first long, due long")
-    table = table.withColumn("s", F.xxhash64("name")).drop("name")
-    share = table.select("s", "share").distinct()
-    numbered = _numbered(docs, block).join(share, "s").withColumn("turn", F.col("block") % F.col("share"))
-    start = (F.floor(F.col("block") / F.col("share")) * slots).cast("long")
-    return (
-        numbered.join(table.drop("share"), ["s", "turn"])
-        .withColumn("slot", start + F.col("at")).withColumn("release", start + F.col("first")).withColumn("deadline", start + F.col("due"))
-        .withColumn("offset", (F.col("number") % block).cast("int"))
-    )

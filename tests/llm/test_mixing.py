@@ -10,30 +10,30 @@ from portolan.llm.common import table
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_schedule_stays_within_a_block_of_every_share(seed):
+def test_schedule_stays_within_a_block_of_every_weight(seed):
     rnd = random.Random(seed)
     weights = {f"s{i}": rnd.choice([0.1, 1, 3, 10, 50]) * rnd.random() + 0.01 for i in range(rnd.randrange(1, 30))}
-    shares = mixing.whole_shares(weights, 512)
-    assert sum(shares.values()) == 512 and min(shares.values()) >= 1
+    ratios = mixing.whole_ratios(weights)
+    total = sum(ratios.values())
     done = Counter()
-    for i, (source, block, slot, first, due) in enumerate(mixing.schedule(shares)):
+    found = mixing.placed_blocks(ratios, {s: 1000 for s in ratios})
+    for i, (source, block, slot, first, due) in zip(range(512), found):
         assert slot == i and first <= slot < due
         done[source] += 1
         assert block == done[source]
-        assert all(abs(done[s] * 512 - share * (slot + 1)) < 512 for s, share in shares.items())
+        assert all(abs(done[s] * total - ratio * (slot + 1)) < total for s, ratio in ratios.items())
 
 
-def check(rows, out, weights, block, slots=mixing.SLOTS):
+def check(rows, out, weights, block):
     """The placed rows hold every row once, in the schedule's places."""
     assert Counter((r.doc_id, r.source) for r in out) == Counter((i, s) for i, _, s in rows)
     sizes = Counter(s for _, _, s in rows)
-    shares = mixing.whole_shares({s: weights[s] for s in sizes}, slots)
-    slot_of = {(s, j - 1): (slot, a, b) for s, j, slot, a, b in mixing.schedule(shares)}
+    ratios = mixing.whole_ratios({s: weights[s] for s in sizes})
+    slot_of = {(s, j - 1): places for s, j, *places in mixing.placed_blocks(ratios, {s: -(-n // block) for s, n in sizes.items()})}
     places = defaultdict(set)
     for r in out:
-        turn, again = r.block % shares[r.source], r.block // shares[r.source]
-        slot, first, due = slot_of[r.source, turn]
-        assert (r.slot, r.release, r.deadline, r.share) == (slot + again * slots, first + again * slots, due + again * slots, shares[r.source])
+        assert [r.slot, r.release, r.deadline] == slot_of[r.source, r.block]
+        assert r.share == float(Fraction(ratios[r.source], sum(ratios.values())))
         places[r.source].add(r.block * block + r.offset)
     assert all(places[s] == set(range(n)) for s, n in sizes.items())
     assert len({(r.slot, r.offset) for r in out}) == len(rows)
@@ -42,7 +42,7 @@ def check(rows, out, weights, block, slots=mixing.SLOTS):
 def test_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-    check(rows, mixing.mix(docs).collect(), mixing.source_weights(docs), mixing.BLOCK)
+    check(rows, mixing.mix_exact(docs).collect(), mixing.source_weights(docs), mixing.BLOCK)
 
 
 def test_odd_rows(documents):
@@ -50,21 +50,14 @@ def test_odd_rows(documents):
     rows += [(None, None, None), (None, "", None), (1, "text 1", "hot"), (1, "text 1", "hot"), (600, "x", "")]
     df = documents(rows, extra=("slot", "s", "row", "share", "bucket", "n", "at", "name", "block", "tie"))
     weights = {s: 1.0 for _, _, s in rows} | {"hot": 20.0}
-    out = mixing.mix(df, weights, block=3).collect()
+    out = mixing.mix_exact(df, weights, block=3).collect()
     check(rows, out, weights, 3)
-    ordered = mixing.mixed_order(df, weights, block=3)
+    ordered = mixing.mixed_order_exact(df, weights, block=3)
     assert ordered.columns == df.columns
     by_place = [(r.source) for r in sorted(out, key=lambda r: (r.slot, r.offset))]
     assert [r.source for r in ordered.collect()] == by_place
-    assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_order(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        mixing.mix(df, {"hot": 1.0})
-
-
-def test_more_sources_than_slots(documents):
-    rows = [(i, "t", f"s{i}") for i in range(40)]
-    out = mixing.mix(documents(rows), slots=16).collect()
-    check(rows, out, {s: 1.0 for _, _, s in rows}, mixing.BLOCK, slots=256)
+        mixing.mix_exact(df, {"hot": 1.0})
 
 
 def test_exact_weights_hold_over_many_rounds_with_many_sources():
@@ -72,7 +65,7 @@ def test_exact_weights_hold_over_many_rounds_with_many_sources():
     ratios = mixing.whole_ratios(given)
     exact = {s: Fraction(w) / sum(map(Fraction, given.values())) for s, w in given.items()}
     assert all(Fraction(ratios[s], sum(ratios.values())) == w for s, w in exact.items())
-    slots = 20 * mixing.SLOTS
+    slots = 20 * 1024
     done = Counter()
     blocks = {s: int(w * slots) + 2 for s, w in exact.items()}
     for i, (source, block, slot, first, due) in enumerate(mixing.placed_blocks(ratios, blocks)):
