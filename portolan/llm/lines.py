@@ -215,7 +215,11 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 def line_links(docs: DataFrame, tau: int = TAU, per_edit: int = CHARS_PER_EDIT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(g, links) and (g, component) of the line texts that link with others; ``g`` is a line's 64-bit hash."""
-    lines = _occurrences(docs).select("line", "g", F.length("line").alias("size")).filter(F.col("size") >= per_edit)
+    # different lines only, copies combined before the shuffle: a line of every document is filed once
+    lines = stored(
+        _occurrences(docs).select("line", "g", F.length("line").alias("size")).filter(F.col("size") >= per_edit)
+        .groupBy("g").agg(F.first("line").alias("line"), F.first("size").alias("size"))
+    )
     filed = lines.select("g", F.inline(_files(tau, per_edit)))
     whole = Window.partitionBy("key")
     met = (
@@ -224,7 +228,7 @@ def line_links(docs: DataFrame, tau: int = TAU, per_edit: int = CHARS_PER_EDIT,
     )
     met = stored(met)
     sizes = met.groupBy("key").agg(F.countDistinct("g").alias("n"))
-    texts = lines.select("g", "line").join(met.select("g").distinct().hint("merge"), "g").groupBy("g").agg(F.first("line").alias("line"))
+    texts = lines.select("g", "line").join(met.select("g").distinct().hint("merge"), "g")
     blocks = met.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("side", F.pmod(F.hash("g"), "blocks"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("side", "other"), F.greatest("side", "other")

@@ -140,3 +140,20 @@ def test_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     compare(rows, lines.near_lines(docs).collect())
+
+
+def test_a_line_of_every_document_is_filed_once(documents, monkeypatch):
+    hot, near = "the same notice at the foot of every page", "the same notice at the foot of every pagé"
+    rows = [(i, f"{hot}\nown words of document {i:05d} {i * 7919}") for i in range(400)] + [(400, near)]
+    tables, plain = [], lines.stored
+
+    def stored(df):
+        tables.append(plain(df))
+        return tables[-1]
+
+    monkeypatch.setattr(lines, "stored", stored)
+    out = lines.near_lines(documents(rows)).collect()
+    filed = tables[0].groupBy("line").count().collect()
+    assert {r["count"] for r in filed} == {1} and {hot, near} <= {r.line for r in filed}
+    kept = [(r.doc_id, r.line_no) for r in out if r.class_doc == 0 and r.class_line == 0 and r.kept]
+    assert kept == [(0, 0)] and len([r for r in out if (r.class_doc, r.class_line) == (0, 0)]) == 401
