@@ -1092,7 +1092,7 @@ DOCUMENTS: dict[str, Query] = {
     "result_manifest": Query(_result_manifest, "reporter:int section:str rows:long", _section_counts_sql(), both=False),
     # Values read back out of the JSON text.
     "result_document": Query(
-        lambda d, f: reports.json_results(d, f).select(
+        lambda d, f: reports.json_results(reports.stored_flows(d), f).select(
             "reporter",
             *[
                 F.get_json_object("document", path).alias(name)

@@ -81,6 +81,15 @@ def flow_cube(flows: DataFrame) -> DataFrame:
     return written(flows.groupBy("t", "i", "j", "k").agg(F.sum("v").alias("v"), F.sum("q").alias("q")))
 
 
+def stored_flows(data: TradeData) -> TradeData:
+    """The same data with its flows written once as files.
+
+    For reports over flows that are a view: each section about single flows would
+    otherwise join the tables behind the view again.
+    """
+    return data._replace(flows=written(data.flows))
+
+
 def statistics_sections(data: TradeData, focal: int | None = None, cube: DataFrame | None = None) -> Tables:
     """The statistical and complexity results that carry a reporter.
 

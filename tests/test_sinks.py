@@ -2,8 +2,9 @@ import json
 
 import pytest
 
-from portolan.plans import reports
+from portolan.plans import catalog, reports
 from portolan.sinks import read_section, result_document, write_json, write_tables
+from portolan.sources import star
 from portolan.sources.readers import TradeData
 
 
@@ -119,3 +120,40 @@ def test_sections_share_one_cube(spark, data, tmp_path):
     for name in ("summary_statistics", "concentration", "yearly", "export_share_latest", "economic_complexity", "market_penetration", "product_opportunities"):
         a, b = (sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d[name].collect()), key=repr) for d in (sections, whole))
         assert a == b, name
+
+
+@pytest.fixture
+def star_tables(spark, tmp_path):
+    """A folder of order-line tables: ten orders of three nations in two years."""
+    tables = {
+        "nation": ([(i, f"Nation {i}") for i in range(3)], "n_nationkey long, n_name string"),
+        "customer": ([(i, i % 3) for i in range(6)], "c_custkey long, c_nationkey long"),
+        "supplier": ([(i, i % 3) for i in range(4)], "s_suppkey long, s_nationkey long"),
+        "part": ([(i, f"Brand#1{i}", "SMALL", i + 1) for i in range(4)], "p_partkey long, p_brand string, p_type string, p_size long"),
+        "orders": ([(i, i % 6, f"{1997 + i % 2}-03-01") for i in range(10)], "o_orderkey long, o_custkey long, o_orderdate string"),
+        "lineitem": (
+            [(i % 10, i % 4, i * 7 % 4, float(i % 5 + 1), 100.0 + i * i, 0.1, i % 3 / 100) for i in range(60)],
+            "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double",
+        ),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def read_by(df):
+    return df._jdf.queryExecution().optimizedPlan().toString(), sorted(df.inputFiles())
+
+
+def test_the_document_query_joins_the_star_tables_once(spark, star_tables):
+    """All sections read flows that were written once: none of them reads line items again."""
+    out = catalog.queries()["result_document_all_reporters"](spark, star_tables)
+    plan, files = read_by(out)
+    assert files and not any("lineitem" in f for f in files) and "l_orderkey" not in plan
+    rows = {r.reporter: r for r in out.collect()}
+    unstored = reports.json_results(star.trade_data(spark, star_tables))
+    want = {r.reporter: json.loads(r.document) for r in unstored.collect()}
+    assert set(rows) == set(want) == {0, 1, 2}
+    for reporter, doc in want.items():
+        assert rows[reporter].total_records == 60 and rows[reporter].export_records == doc["metadata"][0]["export_records"]
+        assert rows[reporter].first_year == doc["yearly"][0]["t"] and rows[reporter].export_products == doc["summary_statistics"][0]["export_products"]
