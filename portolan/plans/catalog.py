@@ -1085,7 +1085,7 @@ def _section_counts_sql() -> str:
 def _result_manifest(data: TradeData, focal: int | None) -> DataFrame:
     """Rows of every section in the files; the centres are left to ``kmeans_scores``, whose chosen k they have."""
     folder = f"{shared_folder(data.flows.sparkSession).rstrip('/')}/results-{uuid.uuid4().hex}"
-    return reports.write_results(data, folder, focal).filter(F.col("section") != "kmeans_centers")
+    return reports.write_results(reports.stored_flows(data), folder, focal).filter(F.col("section") != "kmeans_centers")
 
 
 DOCUMENTS: dict[str, Query] = {

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from portolan.operators import totals
 from portolan.plans import catalog, reports
 from portolan.sinks import read_section, result_document, write_json, write_tables
 from portolan.sources import star
@@ -157,3 +158,18 @@ def test_the_document_query_joins_the_star_tables_once(spark, star_tables):
     for reporter, doc in want.items():
         assert rows[reporter].total_records == 60 and rows[reporter].export_records == doc["metadata"][0]["export_records"]
         assert rows[reporter].first_year == doc["yearly"][0]["t"] and rows[reporter].export_products == doc["summary_statistics"][0]["export_products"]
+
+
+def test_the_manifest_query_joins_the_star_tables_once(spark, star_tables, monkeypatch):
+    """The sections of the manifest are made from flows that were written once."""
+    given = []
+
+    def few(data, focal=None):
+        given.append(read_by(data.flows))
+        return {"metadata": totals.run_metadata(data.flows, focal), "summary_statistics": totals.summary_kpis(data.flows, focal)}
+
+    monkeypatch.setattr(reports, "result_sections", few)
+    found = catalog.queries()["result_manifest"](spark, star_tables).collect()
+    ((plan, files),) = given
+    assert files and not any("lineitem" in f for f in files) and "l_orderkey" not in plan
+    assert sorted(tuple(r) for r in found) == [(r, s, 1) for r in range(3) for s in ("metadata", "summary_statistics")]
