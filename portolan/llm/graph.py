@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portolan.llm.common import settled
 
+#: Edges that one file of a round holds.
+EDGES_PER_FILE = 200_000
+
 
 def _rounds(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (a, b) with a > b."""
@@ -23,9 +28,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges stop changing, a
     number of rounds that grows with the logarithm of a component's size. Edges
-    are checkpointed between rounds. A node with very many links is reduced by
-    partial aggregation, and its rows of a join are split by Spark's skew
-    handling. Links of a node to itself and repeated links change nothing.
+    are checkpointed between rounds, in as many files as they fill and not in one
+    for every shuffle partition. A node with very many links is reduced by partial
+    aggregation, and its rows of a join are split by Spark's skew handling. Links of
+    a node to itself and repeated links change nothing.
     """
     edges = settled(
         links.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct()
@@ -33,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
     state = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))
     before = edges.select(state.alias("s")).first().s
     while before[0]:
-        edges = settled(_rounds(edges))
+        # a round has about as many edges as the one before, or fewer
+        edges = settled(_rounds(edges).coalesce(ceil(before[0] / EDGES_PER_FILE)))
         now = edges.select(state.alias("s")).first().s
         if now == before:
             break
