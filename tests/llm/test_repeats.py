@@ -104,6 +104,38 @@ def test_suffix_array_is_sorted(seed):
     assert (same[1:][pairs] == np.array([a == b for a, b in zip(keys, keys[1:])])[pairs]).all()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_only_wanted_suffixes_are_sorted(seed):
+    rng = np.random.default_rng(seed)
+    text = rng.integers(97, 97 + 1 + seed, 3000).astype(np.uint8)
+    text[500:1500] = text[1600:2600]
+    wanted = np.zeros(3000, bool)
+    wanted[[0, 2999]] = wanted[550:700] = wanted[1650:1800] = True
+    order = suffixes.suffix_array(text, 64, wanted)
+    full = suffixes.suffix_array(text, 64)
+    assert order[wanted[order]].tolist() == full[wanted[full]].tolist()
+    needed = suffixes.reached(wanted, suffixes.smaller_than_next(text))
+    assert sorted(order.tolist()) == np.flatnonzero(needed).tolist()
+    assert len(order) == 3000 if seed == 0 else len(order) < 400
+
+
+def test_ties_that_stay_equal_are_not_moved(monkeypatch):
+    """Copies of a passage are equal at every further word: no round sorts them again."""
+    passage = np.random.default_rng(1).integers(97, 123, 500)
+    text = np.concatenate([passage, [65], passage, [66], passage]).astype(np.uint8)
+    wanted = np.zeros(len(text), bool)
+    wanted[:101] = wanted[501:602] = wanted[1002:1103] = True
+
+    def lexsort(keys):
+        raise AssertionError(f"{len(keys[0])} suffixes sorted again")
+
+    monkeypatch.setattr(suffixes.np, "lexsort", lexsort)
+    order = suffixes.suffix_array(text, 400, wanted)
+    order = order[wanted[order]]
+    assert order.reshape(-1, 3).tolist() == sorted([[i, i + 501, i + 1002] for i in range(101)], key=lambda p: bytes(text[p[0] :][:400]))
+    assert suffixes.neighbours_equal(order, text, 400).reshape(-1, 3).tolist() == [[False, True, True]] * 101
+
+
 def test_smaller_than_next():
     text = np.frombuffer(b"mississippi", np.uint8)
     assert [bool(text[i:].tobytes() < text[i + 1 :].tobytes()) for i in range(len(text))] == suffixes.smaller_than_next(text).tolist()
