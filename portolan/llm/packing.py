@@ -44,6 +44,13 @@ BREAK = re.compile(r"\S(?=[ \n])")
 # Bytes that stand for themselves in a byte-level vocabulary; the others follow U+00FF in order.
 PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 ALPHABET = dict(zip((b for b in range(256) if b not in PLAIN), range(256, 512)))
+LETTERS = np.array([ALPHABET.get(b, b) for b in range(256)], "<u2")
+
+
+def spelled(words: list[str]) -> list[str]:
+    """The words in the letters of a byte-level vocabulary; they are mapped together, parted by a byte that no text has."""
+    raw = "\udcff".join(words).encode("utf-8", "surrogateescape")  # the byte 0xFF, which stands for itself
+    return LETTERS[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le").split("\xff") if words else []
 
 
 def spans(text: str) -> Iterator[str]:
@@ -88,8 +95,8 @@ class Encoder:
         """Ids of the words that have come up since the last call."""
         words = list(self.number)[len(self.sizes) :]
         model, ids, sizes = self.tokenizer.model, [], []
-        for word in words:
-            found = model.tokenize(word.encode().decode("latin-1").translate(ALPHABET))
+        for word in spelled(words):
+            found = model.tokenize(word)
             ids += [token.id for token in found]
             sizes.append(len(found))
         unknown = {c for c in set("".join(words)) if unicodedata.category(c) == "Cn"}

@@ -80,6 +80,17 @@ def test_table_and_digest(spark, sf_dir):
     assert found == Counter(r[:5] for r in want.elements())
 
 
+def test_words_are_spelled_together():
+    """Words mapped in one go have the letters, and the model's ids, that each word has by itself."""
+    words = ["", " the", "\x00\x7f\xad", "ÿ", " ÿÿ", "\n\n", "日本", "👩‍👩", *map(chr, range(0x180))]
+    alone = [w.encode().decode("latin-1").translate(packing.ALPHABET) for w in words]
+    assert packing.spelled(words) == alone and packing.spelled([]) == [] and packing.spelled([""]) == [""]
+    assert len(set("".join(packing.spelled(list(map(chr, range(0x80))))))) == 0x80
+    encoder = packing.Encoder(LIBRARY.to_str(), public_tokenizers.PATTERN)
+    texts = [w for w in words if w]
+    assert [x.tolist() + [0] for x in encoder.encode(texts)] == [ids_of(t) for t in texts]
+
+
 def test_one_folder_per_length(documents, tmp_path):
     text = "word " * 1500
     packing.pack(documents([(1, text), (2, None)]), PATH, path=str(tmp_path / "out"), max_tokens=256)
