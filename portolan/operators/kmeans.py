@@ -34,7 +34,7 @@ from portolan.plans.session import settled
 BLOCK = 1024
 #: Rounds after which centres that still move are left as they are.
 MAX_ROUNDS = 300
-#: Centres closer than this, relative to their size, are at one place.
+#: Centres closer than this, relative to their size, are at one place; inertias closer than this are equal.
 SAME = 1e-12
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -185,7 +185,7 @@ def fit(
     ``points`` (group, key, features) is a written table; keys are whole numbers.
     A number of clusters is tried where the group has that many points. Rounds go
     on until no centre of any model moves, or ``max_rounds``; the inertia is that
-    of the last assignment.
+    of the last assignment, and the first of equally good starts wins.
     """
     kind = points.schema[group].dataType.simpleString()
     width = points.select(F.max(F.size("features"))).first()[0] or 0
@@ -205,9 +205,12 @@ def fit(
             parts.append(state)
             break
         parts.append(state.filter("NOT moved"))
-    best = Window.partitionBy(group, "k").orderBy("inertia", "restart")
+    models = Window.partitionBy(group, "k")
+    # starts that end in the same clusters differ in the last digits of their sums, by blocks: the first of them is taken
+    tied = F.col("inertia") <= F.min("inertia").over(models) * (1 + SAME)
     return settled(
-        reduce(DataFrame.unionByName, parts).withColumn("_place", F.row_number().over(best)).filter("_place = 1")
+        reduce(DataFrame.unionByName, parts).withColumn("_tied", tied).filter("_tied")
+        .withColumn("_place", F.row_number().over(models.orderBy("restart"))).filter("_place = 1")
         .select(group, "k", "restart", "centers", "inertia", (~F.col("moved")).alias("converged"))
     )
 
